@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash
+from . import exact_dedup, minhash, mixing, packing, toxicity
 from .frames import read
 
 
@@ -14,13 +14,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op8_packing": op8_packing,
 }
 
 SQL: dict[str, str] = {
@@ -29,4 +44,6 @@ SQL: dict[str, str] = {
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS duplicate_of, strlen(text)::BIGINT AS n_bytes
             FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> duplicate_of""",
+    "op4_mixing": mixing.SQL,
+    "op8_packing": packing.SQL,
 }
