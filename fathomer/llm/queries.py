@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, minhash, mixing, packing, toxicity
+from . import exact_dedup, html_extract, licenses, line_dedup, minhash, mixing, packing, toxicity
 from .frames import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(read(spark, sf_dir, "documents"))
 
@@ -34,13 +38,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
+    "op9_license_scan": op9_license_scan,
 }
 
 SQL: dict[str, str] = {
