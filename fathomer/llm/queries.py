@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, licenses, line_dedup, minhash, mixing, packing, toxicity
+from . import exact_dedup, html_extract, langid, licenses, line_dedup, minhash, mixing, packing, toxicity
 from .frames import read
 
 
@@ -42,6 +42,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
