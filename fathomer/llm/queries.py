@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, langid, licenses, line_dedup, minhash, mixing, packing, toxicity
+from . import ann, exact_dedup, html_extract, langid, licenses, line_dedup, minhash, mixing, packing, toxicity
 from .frames import read
 
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_neighbours": op7_neighbours,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
