@@ -48,8 +48,8 @@ CATEGORIES: tuple[tuple[str, tuple[str, ...]], ...] = (
 NAMES = [c for c, _ in CATEGORIES]
 
 
-def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hashed feature), not yet distinct."""
+def features(col: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hashed feature), not yet distinct; with a table, (document, index) of the features that it selects."""
     data, off = kernels.buffers(col)
     docs, feats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     mask = np.uint64((1 << HASH_BITS) - 1)
@@ -58,6 +58,9 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         size = p.ends - p.starts
         for kind, h, ok in [(0, p.words(), None), *((k, p.prefixes(k), size > k) for k in (4, 5, 6)), *((10 + k, p.suffixes(k), size > k) for k in (4, 5))]:
             f = (kernels.mix64(h + np.uint64(kind)) & mask).astype(np.uint32)
+            if table is not None:
+                f = table[f]
+                ok = f >= 0 if ok is None else ok & (f >= 0)
             docs.append(doc if ok is None else doc[ok])
             feats.append(f if ok is None else f[ok])
     return np.concatenate(docs), np.concatenate(feats)
@@ -80,9 +83,7 @@ class Chain:
         return out
 
     def score(self, col: pa.Array) -> np.ndarray:
-        doc, f = features(col)
-        idx = self.table[f]
-        doc, idx = kernels.unique_pairs(doc[idx >= 0], idx[idx >= 0])
+        doc, idx = kernels.unique_pairs(*features(col, self.table))
         return self.predict(doc, idx, len(col))
 
 
@@ -115,10 +116,9 @@ def train(rows: list[np.ndarray], toxic: np.ndarray) -> Chain | None:
     n, size = len(rows), 1 << HASH_BITS
     if min(toxic.sum(), n - toxic.sum()) < LEAST_LABELS:
         return None
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
-    feat = np.concatenate(rows)
-    a = np.bincount(feat, toxic[doc], size)
-    b = np.bincount(feat, minlength=size) - a
+    a, b = np.zeros(size), np.zeros(size)
+    for r, y in zip(rows, toxic):
+        (a if y else b)[r] += 1  # a row's features are distinct
     n1, n0 = toxic.sum(), n - toxic.sum()
     p = (a + b) / n
 
@@ -132,8 +132,8 @@ def train(rows: list[np.ndarray], toxic: np.ndarray) -> Chain | None:
     best = best[g[best] > LEAST_G]
     table = np.full(size, -1, np.int32)
     table[best] = np.arange(len(best))
-    idx = table[feat]
-    doc, idx = doc[idx >= 0], idx[idx >= 0]
+    kept = [i[i >= 0] for i in (table[r] for r in rows)]
+    doc, idx = np.repeat(np.arange(n), [len(i) for i in kept]), np.concatenate(kept)
     fold = np.arange(n) % FOLDS
     weights, before = [], np.zeros((n, 0))
     for _, terms in CATEGORIES:
