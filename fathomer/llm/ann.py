@@ -243,7 +243,7 @@ def neighbours(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding
         ready: dict[int, np.ndarray] = {}
         for b in batches:
             for pid, blob, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                rec = np.frombuffer(blob, record)
+                rec = kernels.unpack(blob, record)
                 if kind == 0:
                     home.setdefault(pid, []).append(rec)
                     continue

@@ -208,14 +208,20 @@ def scatter(part: np.ndarray, rec: np.ndarray, n: int) -> pa.RecordBatch | None:
     """Records grouped by target partition as (pid, blob) rows: one shuffled row per partition, not per record."""
     if len(rec) == 0:
         return None
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if n <= 1 << 16 else part, kind="stable")  # 16 bits: radix sort
     part, rec = part[order], rec[order]
     at, size = runs(part)
-    blobs = [rec[a : a + s].tobytes() for a, s in zip(at, size)]
+    rows = rec.view(np.uint8).reshape(len(rec), rec.dtype.itemsize)
+    blobs = [rows[a : a + s].T.tobytes() for a, s in zip(at, size)]  # byte planes: the zero bytes of small numbers compress away
     return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["pid", "blob"])
 
 
+def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    """The records of a blob of ``scatter``."""
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).reshape(-1)
+
+
 def gather(batches, dtype: np.dtype) -> np.ndarray:
     """All records of the blobs of a partition."""
-    got = [np.frombuffer(b, dtype) for batch in batches for b in batch.column("blob").to_pylist()]
+    got = [unpack(b, dtype) for batch in batches for b in batch.column("blob").to_pylist()]
     return np.concatenate(got) if got else np.zeros(0, dtype)
