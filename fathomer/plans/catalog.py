@@ -4,7 +4,585 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as fx
+from ..ids import stable_id
+from ..operators import chunk, embed, evaluate, extract, fusion, graph, lexical, refine, rerank, resolve, vector
+from ..session import ship
+from ..streaming import events, incremental
+from . import search
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- ids, inventories, cleaning ---------------------------------------------------------------------------------------
+
+_ID = "CASE WHEN {h} >= 9223372036854775808 THEN {h} - 18446744073709551616 ELSE {h} END::BIGINT".replace("{h}", "(('0x' || substr(sha256({t}), 1, 16))::UBIGINT::HUGEINT)")
+
+
+@query(f"SELECT doc_id, {_ID.replace('{t}', 'text')} AS chunk_id FROM documents")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", stable_id(F.col("text")).alias("chunk_id"))
+
+
+SIZE = 1000
+_CHUNKS = f"""chunks AS (SELECT doc_id, source, (s // {SIZE})::INTEGER AS ordinal, s::INTEGER AS start_offset, least(s + {SIZE}, length(text))::INTEGER AS end_offset,
+    substr(text, s + 1, {SIZE}) AS text FROM (SELECT *, unnest(range(0, length(text), {SIZE})) AS s FROM documents))"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return chunk.fixed_chunks(docs, SIZE).select("doc_id", "source", "ordinal", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("chunk").alias("text"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, ordinal, start_offset, end_offset, text FROM chunks")
+def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).drop("source")
+
+
+@query(f"WITH {_CHUNKS} SELECT source, count(*) AS chunks, min(start_offset) AS first, max(end_offset) AS last FROM chunks GROUP BY source")
+def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.inventory(_chunks(spark, sf_dir), "source")
+
+
+@query(f"WITH {_CHUNKS} SELECT count(*) AS chunks, count(DISTINCT source) AS files FROM chunks")
+def target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.totals(_chunks(spark, sf_dir), "source")
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, ordinal, start_offset, end_offset, trim(substr(text, 1, 100)) AS snippet FROM chunks WHERE source = 'src1'")
+def file_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chunks(spark, sf_dir).where("source = 'src1'")
+    return c.select("doc_id", "ordinal", "start_offset", "end_offset", F.trim(F.substring("text", 1, 100)).alias("snippet"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, string_agg(' ' || text, '' ORDER BY start_offset) AS text FROM chunks GROUP BY doc_id")
+def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chunks(spark, sf_dir).select(F.col("doc_id").alias("file_path"), F.col("ordinal").alias("chunk_id"), "start_offset", "text")
+    return search.file_texts(c).withColumnRenamed("file_path", "doc_id")
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'),
+    ' ?\n ?', chr(10), 'g'), '\n\n+', chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS text FROM documents""")
+def refine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", fx.refine_prose(F.col("text")).alias("text"))
+
+
+@query()
+def refine_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = refine.refined(F.col("text"), F.lit(False))
+    return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.text", "r.offset_map")
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", refine.nfc("text").alias("text"))
+
+
+# --- splitting ----------------------------------------------------------------------------------------------------------
+
+
+def _ordered(parts: str) -> str:
+    return f"SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS ordinal, unnest(p) AS text FROM (SELECT doc_id, {parts} AS p FROM documents)"
+
+
+@query(_ordered(r"list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"))
+def split_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chunk.splitter("separator", patterns=["\n+"])
+    return chunk.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), parts).select("doc_id", "ordinal", F.col("chunk").alias("text"))
+
+
+@query(_ordered(r"list_filter(string_split_regex(regexp_replace(text, '([.!?])[ \t]+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '\x01|\n{2,}'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')"))
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fx.sentences(F.col("text"))).alias("ordinal", "text"))
+
+
+@query()
+def split_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), chunk.splitter("recursive"))
+
+
+@query()
+def split_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk.chunks(docs, chunk.splitter("recursive", size=400, overlap=50), language=F.lit("python"))
+
+
+@query()
+def split_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunks(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), chunk.splitter("recursive"), language=F.lit("html"))
+
+
+@query()
+def split_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), chunk.splitter("semantic"))
+
+
+_SUFFIXES = ["py", "md", "HTML", "xyz", "rs", "tsx", "hpp", "kt"]
+_CASES = " ".join(f"WHEN '{s}' THEN '{lang}'" for s, lang in sorted(fx.SUFFIX_LANGUAGE.items()))
+
+
+@query(f"""WITH p AS (SELECT doc_id, source || '/' || doc_id || '.' || ({_SUFFIXES!r})[(doc_id % {len(_SUFFIXES)} + 1)::INTEGER] AS path FROM documents)
+    SELECT doc_id, path, CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) {_CASES} END AS language FROM p""")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col("doc_id") % len(_SUFFIXES) + 1).cast("int"))
+    p = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit("."), suffix).alias("path"))
+    return p.select("doc_id", "path", fx.language_of(F.col("path")).alias("language"))
+
+
+# --- embedding and search -----------------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+')) AS token FROM documents),
+    b AS (SELECT doc_id, ('0x' || right(sha1(token), 2))::INTEGER AS bucket, count(*) AS n FROM t GROUP BY ALL)
+    SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS weight FROM b""")
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.hash_embed(table(spark, sf_dir, "documents"), "doc_id").withColumn("weight", F.round("weight", 9))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as queries of single tokens."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(fx.tokens(F.col("text")), " ").alias("query"))
+
+
+_COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
+
+
+def _vector_sql(k: int, where: str = "true") -> str:
+    return f"""SELECT q.vec_id AS query_id, e.vec_id AS row_id, {_COS} AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE {where} QUALIFY rank <= {k}"""
+
+
+@query(f"SELECT query_id, row_id, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM ({_vector_sql(10, 'q.vec_id = 0')})")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector.top_k(q, e, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT query_id, row_id, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM ({_vector_sql(5)})")
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_lists(spark, sf_dir, 5).withColumn("score", F.round("score", 6))
+
+
+def _vector_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vector.top_k(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e, k)
+
+
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_BM25 = f"""dt AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+    stat AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM dt),
+    tf AS (SELECT token, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS token FROM dt) GROUP BY ALL),
+    df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+    qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS token FROM benchmark),
+    bm AS (SELECT query_id, doc_id AS row_id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * {lexical.K1 + 1} / (tf + {lexical.K1} * ({1 - lexical.B} + {lexical.B} * dl / avgdl))) AS score
+        FROM qt JOIN tf USING (token) JOIN df USING (token), stat GROUP BY ALL),
+    lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM bm QUALIFY rank <= 20)"""
+
+
+def _lexical_lists(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    scored = lexical.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), "doc_id")
+    return lexical.top(scored, k)
+
+
+@query(f"WITH {_BM25} SELECT query_id, row_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lex WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical_lists(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+
+
+_PHRASES = [(1, "of_the"), (2, "apache-license version"), (3, "public_license"), (4, "gnu.general.public")]
+
+
+@query(f"""WITH q AS (SELECT query_id, unnest(string_split(q, ' ')) AS part FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in _PHRASES)}) v(query_id, q)),
+    ph AS (SELECT query_id, array_to_string(regexp_extract_all(lower(part), '[\\p{{L}}\\p{{N}}]+'), ' ') AS phrase, regexp_extract_all(lower(part), '[\\p{{L}}\\p{{N}}]+') AS words FROM q),
+    term AS (SELECT DISTINCT phrase, len(words) AS n, unnest(words) AS token, generate_subscripts(words, 1) AS slot FROM ph),
+    dt AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), stat AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM dt),
+    post AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM dt),
+    occ AS (SELECT phrase, doc_id, dl, pos - slot AS shift FROM post JOIN term USING (token) GROUP BY phrase, n, doc_id, dl, pos - slot HAVING count(*) = n),
+    tf AS (SELECT phrase, doc_id, dl, count(*) AS tf FROM occ GROUP BY ALL), df AS (SELECT phrase, count(*) AS df FROM tf GROUP BY ALL)
+    SELECT query_id, doc_id AS row_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * {lexical.K1 + 1} / (tf + {lexical.K1} * ({1 - lexical.B} + {lexical.B} * dl / avgdl))), 6) AS score
+    FROM ph JOIN tf USING (phrase) JOIN df USING (phrase), stat GROUP BY query_id, doc_id""")
+def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = spark.createDataFrame(_PHRASES, "query_id bigint, query string")
+    return lexical.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), q, "doc_id").withColumn("score", F.round("score", 6))
+
+
+_SAMPLES = [
+    (1, "write wal"), (2, "AUTH flow"), (3, "lru and ttl of the db"), (4, "parse_payload validation"), (5, "parsePayload"), (6, "what does foo(bar) do"), (7, "ns::symbol lookup"),
+    (8, "open config.yaml"), (9, "list[int]"), (10, "how does indexing work"), (11, "what is related to caching"), (12, "impact of locks"), (13, "cache eviction policy"), (14, "plain words"), (15, "`code span` here"),
+]
+_SAMPLE_SQL = ", ".join(f"({i}, '{q}')" for i, q in _SAMPLES)
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.createDataFrame(_SAMPLES, "query_id bigint, query string")
+    return fixed.union(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.col("text").alias("query")))
+
+
+_ALL_SAMPLES = f"s AS (SELECT query_id::BIGINT AS query_id, query FROM (VALUES {_SAMPLE_SQL}) v(query_id, query) UNION ALL SELECT item_id + 1000, text FROM benchmark)"
+
+
+@query(f"""WITH {_ALL_SAMPLES} SELECT query_id, CASE WHEN regexp_matches(lower(query), '{"|".join(fx.CONCEPTS)}') THEN 'graph'
+    WHEN regexp_matches(query, '{"|".join(fx.CODE_SHAPES)}') THEN 'lexical' ELSE 'hybrid' END AS mode FROM s""")
+def query_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _samples(spark, sf_dir).select("query_id", fx.route(F.col("query")).alias("mode"))
+
+
+_SYNONYM_ROWS = ", ".join(f"('{k}', {i}, '{w}')" for k, v in fx.SYNONYMS.items() for i, w in enumerate(w for p in v for w in p.split()))
+
+
+@query(f"""WITH {_ALL_SAMPLES}, syn(token, o, word) AS (VALUES {_SYNONYM_ROWS}),
+    t AS (SELECT query_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM (SELECT query_id, regexp_extract_all(lower(query), '[a-z0-9_]+') AS ts FROM s)),
+    more AS (SELECT query_id, word, min(pos * 100 + o) AS place FROM t JOIN syn USING (token) GROUP BY query_id, word),
+    new AS (SELECT m.* FROM more m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query_id = m.query_id AND t.token = m.word))
+    SELECT s.query_id, s.query || coalesce(' ' || (SELECT string_agg(word, ' ' ORDER BY place) FROM new WHERE new.query_id = s.query_id), '') AS expanded FROM s""")
+def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _samples(spark, sf_dir).select("query_id", fx.expand(F.col("query")).alias("expanded"))
+
+
+# --- fusion -------------------------------------------------------------------------------------------------------------
+
+_VEC = f"vec AS ({_vector_sql(20, 'q.vec_id IN (SELECT item_id FROM benchmark)')})"
+_LISTS = f"WITH {_BM25}, {_VEC}, lists AS (SELECT query_id, 'vector' AS strategy, 1 AS s, row_id AS chunk_id, rank FROM vec UNION ALL SELECT query_id, 'lexical', 2, row_id, rank FROM lex)"
+
+
+def _fused_sql(weight: str, limit: int, by: str = "query_id", tail: str = "") -> str:
+    return f"""SELECT * FROM (SELECT {by}, chunk_id, sum(({weight}) / ({fusion.RRF_K} + rank)) AS score, min(CASE WHEN s = 1 THEN rank END)::INTEGER AS vector_rank, min(CASE WHEN s = 2 THEN rank END)::INTEGER AS lexical_rank,
+        row_number() OVER (PARTITION BY {by} ORDER BY round(sum(({weight}) / ({fusion.RRF_K} + rank)), 12) DESC, min(s * 1000 + rank), chunk_id)::INTEGER AS rank FROM lists {tail} GROUP BY {by}, chunk_id) WHERE rank <= {limit}"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    q = e.join(ids, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return fusion.ranked({"vector": vector.top_k(q, e, 20), "lexical": _lexical_lists(spark, sf_dir)})
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "vector_rank", "lexical_rank", "rank")
+
+
+@query(f"{_LISTS} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('1.0', 10)})")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(fusion.fuse(_lists(spark, sf_dir), limit=10))
+
+
+@query(f"{_LISTS} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('CASE WHEN s = 1 THEN 0.0 ELSE 2.0 END', 30)})")
+def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(fusion.fuse(_lists(spark, sf_dir), {"vector": -1.0, "lexical": 2.0}, 30))
+
+
+@query(f"{_LISTS} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('1.0', 10, tail='WHERE (query_id % 3 = 0) OR (query_id % 3 = s)')})")
+def rrf_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("hybrid", "vector", "lexical")]), (F.col("query_id") % 3 + 1).cast("int"))
+    on = F.coalesce(*[F.when((mode == m), F.col("strategy").isin(*parts)) for m, parts in fusion.MODES.items()])
+    return _shown(fusion.fuse(_lists(spark, sf_dir).where(on), limit=10))
+
+
+@query()
+def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    hits = _vector_lists(spark, sf_dir, 20).withColumnRenamed("row_id", "chunk_id").join(e.selectExpr("vec_id AS chunk_id", "embedding"), "chunk_id")
+    return rerank.mmr(hits, 0.5, 5)
+
+
+@query(f"""WITH v AS ({_vector_sql(10)}), x AS (SELECT query_id, row_id, rank, length(text) AS s FROM v JOIN documents ON doc_id = row_id)
+    SELECT query_id, row_id AS chunk_id, s::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank)::INTEGER AS reranker_rank FROM x""")
+def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-ranking by a pluggable scorer; here a stand-in that prefers long texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = _vector_lists(spark, sf_dir, 10).withColumnRenamed("row_id", "chunk_id").join(docs, "chunk_id").withColumn("query", F.lit(""))
+    return rerank.rerank(hits, lambda q, t: F.length(t).cast("double")).select("query_id", "chunk_id", "score", "reranker_rank")
+
+
+@query()
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search plan, graph included, over all documents as chunks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    c = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path"), "text", F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), embed.hashed("text").alias("embedding"))
+    nodes, edges = extract.graph(docs, "doc_id")
+    nodes = nodes.withColumnRenamed("source_ids", "chunk_ids").withColumn("embedding", embed.hashed("name"))
+    corpus = search.Corpus(c, nodes, edges.withColumnRenamed("source_id", "chunk_id"))
+    q = _samples(spark, sf_dir).withColumn("mode", F.lit("auto"))
+    return search.search(q, corpus, search.Options(limit=5, expansion=True, mmr=True)).drop("text")
+
+
+# --- graph --------------------------------------------------------------------------------------------------------------
+
+_WORD = r"[\p{L}\p{N}_]*[^\x00-\x7F\p{P}\p{S}\p{Z}][\p{L}\p{N}_]*"
+_MENTION = rf"""sent AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS sent FROM (
+        SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+') AS p FROM documents)),
+    clean AS (SELECT doc_id, sent, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS evidence FROM sent WHERE regexp_replace(raw, '\s+', '', 'g') <> ''),
+    masked AS (SELECT doc_id, sent, evidence, regexp_replace(evidence, '{_WORD}', '~', 'g') AS m FROM clean),
+    found AS (SELECT doc_id, sent, evidence, list_concat(
+        list_transform(regexp_extract_all(m, '\b([A-Z][A-Za-z0-9]*(?:[ \-][A-Z][A-Za-z0-9]*)*)\b', 1), lambda x: {{'name': trim(regexp_replace(x, '\s+', ' ', 'g')), 'type': 'Concept'}}),
+        list_transform(regexp_extract_all(m, '`[^`]+`|\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b'), lambda x: {{'name': trim(regexp_replace(replace(x, '`', ''), '\s+', ' ', 'g')), 'type': 'Symbol'}})) AS ms FROM masked),
+    kept AS (SELECT doc_id, sent, evidence, list_filter(ms, lambda x: length(x.name) > 2 AND lower(x.name) NOT IN ({", ".join(repr(w) for w in extract.STOP)})) AS ms FROM found),
+    each_ AS (SELECT doc_id, sent, evidence, unnest(ms) AS e, generate_subscripts(ms, 1) - 1 AS pos FROM kept),
+    mention AS (SELECT doc_id, sent, pos, e.name AS name, e.type AS type, lower(e.name) AS low FROM each_ QUALIFY row_number() OVER (PARTITION BY doc_id, sent, lower(e.name) ORDER BY pos) = 1)"""
+
+
+@query(f"WITH {_MENTION} SELECT doc_id, name, type, 0.5::DOUBLE AS confidence FROM mention QUALIFY row_number() OVER (PARTITION BY doc_id, low ORDER BY sent, pos) = 1")
+def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.entities(extract.mentions(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+@query(f"""WITH {_MENTION} SELECT a.doc_id, a.sent::INTEGER AS sent, a.name AS subject, 'mentioned_with' AS predicate, b.name AS object
+    FROM mention a JOIN mention b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.pos < b.pos""")
+def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = extract.relations(extract.mentions(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    return r.select("doc_id", "sent", "subject", "predicate", "object")
+
+
+_STAR = """node AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, 'nation' AS type, 1.0::DOUBLE AS confidence FROM nation
+        UNION ALL SELECT 1000 + r_regionkey, r_name, 'region', 1.0 FROM region
+        UNION ALL SELECT 10000 + s_suppkey, s_name, 'supplier', round((s_acctbal + 1000) / 11000, 4) FROM supplier
+        UNION ALL SELECT 10000000 + c_custkey, c_name, 'customer', round((c_acctbal + 1000) / 11000, 4) FROM customer),
+    edge AS (SELECT id * 10 + 1 AS id, id AS subject_id, 'based_in' AS predicate, key AS object_id, confidence FROM (
+        SELECT 10000 + s_suppkey AS id, s_nationkey::BIGINT AS key, round((s_acctbal + 1000) / 11000, 4) AS confidence FROM supplier
+        UNION ALL SELECT 10000000 + c_custkey, c_nationkey, round((c_acctbal + 1000) / 11000, 4) FROM customer)
+        UNION ALL SELECT n_nationkey * 10 + 2, n_nationkey, 'part_of', 1000 + n_regionkey, 1.0 FROM nation)"""
+
+
+def _star(spark: SparkSession, sf_dir: str, gate: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    for t in ("nation", "region", "supplier", "customer"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"_star_{t}")
+    sql = "WITH " + _STAR.replace("::BIGINT", "").replace("::DOUBLE", "D").replace("1.0D", "1.0D")
+    for t in ("nation", "region", "supplier", "customer"):
+        sql = sql.replace(f"FROM {t}", f"FROM _star_{t}")
+    status = F.when(F.col("confidence") >= gate, "approved").otherwise("pending").alias("status")
+    kinds = {"id": "bigint", "subject_id": "bigint", "object_id": "bigint", "confidence": "double"}
+    out = [spark.sql(f"{sql} SELECT * FROM {t}") for t in ("node", "edge")]
+    return tuple(df.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in df.columns], status) for df in out)
+
+
+@query(f"""WITH {_STAR}, step AS (SELECT subject_id AS node, object_id AS other, 'out' AS direction, predicate, confidence, id FROM edge
+        UNION ALL SELECT object_id, subject_id, 'in', predicate, confidence, id FROM edge)
+    SELECT q.n_nationkey::BIGINT AS query_id, row_number() OVER (PARTITION BY q.n_nationkey ORDER BY s.confidence DESC, s.id, direction)::INTEGER AS rank, direction, predicate, o.name AS neighbour, s.confidence
+    FROM nation q JOIN step s ON s.node = q.n_nationkey JOIN node o ON o.id = s.other QUALIFY rank <= 10""")
+def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _star(spark, sf_dir)
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.lower("n_name").alias("name"))
+    return graph.neighbourhood(names, nodes, edges)
+
+
+@query(f"""WITH {_STAR}, top AS (SELECT * FROM node WHERE starts_with(lower(name), 'supp') ORDER BY confidence DESC, name, id LIMIT 20)
+    SELECT t.name, t.type, t.confidence, predicate, o.name AS related FROM top t LEFT JOIN edge e ON e.subject_id = t.id LEFT JOIN node o ON o.id = e.object_id""")
+def graph_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.concepts(*_star(spark, sf_dir), "supp", 20)
+
+
+@query(f"WITH {_STAR} SELECT type, CASE WHEN confidence >= 0.5 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM node GROUP BY ALL")
+def graph_status_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _star(spark, sf_dir, 0.5)[0].groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_STAR} SELECT e.id, s.name AS subject, e.predicate, o.name AS object, e.confidence FROM edge e
+    LEFT JOIN node s ON s.id = e.subject_id LEFT JOIN node o ON o.id = e.object_id WHERE e.confidence < 0.5 AND e.id % 3 <> 0""")
+def pending_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending relations after a review that rejected every third and approved none."""
+    nodes, edges = _star(spark, sf_dir, 0.5)
+    rejected = edges.where("status = 'pending' and id % 3 = 0").select("id", F.lit("reject").alias("action"), F.lit(1).alias("at"))
+    return graph.pending(nodes, edges, rejected)[1].select("id", "subject", "predicate", "object", "confidence")
+
+
+@query()
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query over a graph whose nodes are vectors and whose edges are similar pairs."""
+    e = table(spark, sf_dir, "embeddings")
+    nodes = e.select(F.col("vec_id").alias("id"), "embedding", F.array("vec_id").alias("chunk_ids"))
+    p = resolve.similar_pairs(e, 0.35, 3)
+    edges = p.select((F.col("i") * 10_000_000 + F.col("j")).alias("id"), F.col("i").alias("subject_id"), F.col("j").alias("object_id"), F.lit("near").alias("predicate"), F.round("sim", 6).alias("confidence"), F.col("i").alias("chunk_id"))
+    return graph.search(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), nodes, edges, 5)
+
+
+_PAIR = f"pair AS (SELECT q.vec_id AS i, e.vec_id AS j, {_COS} AS sim FROM embeddings q JOIN embeddings e ON q.vec_id < e.vec_id)"
+
+
+@query(f"WITH {_PAIR} SELECT i, j, round(sim, 6) AS sim FROM pair WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j DESC) <= 10")
+def entity_resolve_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3, 10).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH RECURSIVE {_PAIR}, link AS MATERIALIZED (SELECT i, j FROM pair WHERE sim >= 0.35 UNION ALL SELECT j, i FROM pair WHERE sim >= 0.35),
+    reach(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.j, r.root FROM reach r JOIN link l ON l.i = r.node WHERE r.root < l.j)
+    SELECT node, min(root) AS root FROM reach GROUP BY node""")
+def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return resolve.components(e.select(F.col("vec_id").alias("node")), resolve.similar_pairs(e, 0.35, None).select("i", "j"))
+
+
+@query("""SELECT lower(trim(regexp_replace(regexp_replace(p_type, '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS norm, count(*) AS n, min(p_partkey) AS root FROM part GROUP BY ALL""")
+def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(fx.normalise_name(F.col("p_type")).alias("norm")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("root"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------------
+
+_METRICS = "hit, mrr, precision, recall, map"
+
+
+def _metric_sql(by: str, k: int) -> str:
+    keys = f"{by}, case_id" if by else "case_id"
+    frame = f"(SELECT DISTINCT {by} FROM hits) CROSS JOIN nrel" if by else "nrel"
+    return f"""nrel AS (SELECT case_id, count(*) AS n_rel FROM rel GROUP BY case_id),
+    good AS (SELECT h.* FROM hits h SEMI JOIN rel r ON r.case_id = h.case_id AND r.item = h.item WHERE h.rank <= {k}),
+    new AS (SELECT *, row_number() OVER (PARTITION BY {keys}, item ORDER BY rank) = 1 AS fresh FROM good),
+    cum AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY {keys} ORDER BY rank) AS found FROM new),
+    agg AS (SELECT {keys}, min(rank) AS first, count(*) AS hits, sum(fresh::INTEGER) AS dist, sum(CASE WHEN fresh THEN found / rank END) AS ap FROM cum GROUP BY {keys}),
+    metric AS (SELECT {keys}, (first IS NOT NULL)::INTEGER::DOUBLE AS hit, coalesce(1 / first, 0) AS mrr, coalesce(hits, 0) / {k} AS precision, coalesce(dist, 0) / n_rel AS recall,
+        coalesce(ap, 0) / least(n_rel, {k}) AS map FROM {frame} LEFT JOIN agg USING ({keys}))"""
+
+
+_EVAL = f"""WITH v AS ({_vector_sql(11)}), hits AS (SELECT query_id AS case_id, row_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM v WHERE row_id <> query_id),
+    rel AS (SELECT a.vec_id AS case_id, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), {_metric_sql("", 10)}"""
+
+
+def _eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    v = _vector_lists(spark, sf_dir, 11).where("row_id <> query_id")
+    hits = v.select(F.col("query_id").alias("case_id"), F.col("row_id").alias("item"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
+    rel = e.select(F.col("vec_id").alias("case_id"), "label").join(e.select(F.col("vec_id").alias("item"), "label"), "label").where("case_id <> item")
+    return evaluate.case_metrics(hits, rel, 10)
+
+
+_ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in evaluate.METRICS)
+
+
+@query(f"{_EVAL} SELECT case_id, {_ROUNDED} FROM metric")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eval(spark, sf_dir).select("case_id", *[F.round(m, 9).alias(m) for m in evaluate.METRICS])
+
+
+@query(f"{_EVAL} SELECT {', '.join(f'round(avg({m}), 9) AS {m}' for m in evaluate.METRICS)}, count(*) AS cases FROM metric")
+def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.means(_eval(spark, sf_dir)).select(*[F.round(m, 9).alias(m) for m in evaluate.METRICS], "cases")
+
+
+@query(f"""{_EVAL}, mean AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in evaluate.METRICS)} FROM metric), long AS (UNPIVOT mean ON {_METRICS} INTO NAME metric_name VALUE value)
+    SELECT metric_name AS metric, round(value, 9) AS value, 0.15::DOUBLE AS baseline, value < 0.15 - 0.01 AS regressed FROM long""")
+def baseline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = evaluate.means(_eval(spark, sf_dir)).unpivot([], list(evaluate.METRICS), "metric", "value")
+    return long.select("metric", F.round("value", 9).alias("value"), F.lit(0.15).alias("baseline"), (F.col("value") < 0.15 - 0.01).alias("regressed"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+')) AS token FROM documents),
+    k AS (SELECT * FROM t WHERE length(token) >= 4 AND token NOT IN ({", ".join("'" + w.replace("'", "''") + "'" for w in evaluate.STOP)})), df AS (SELECT token, count(*) AS df FROM k GROUP BY token),
+    r AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, length(token) DESC, token) AS rn FROM k JOIN df USING (token) QUALIFY rn <= 4)
+    SELECT doc_id, 1 AS part, string_agg(token, ' ' ORDER BY rn) AS query FROM r GROUP BY doc_id""")
+def synth_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.synthetic_cases(table(spark, sf_dir, "documents"), "doc_id")
+
+
+_GRID = "SELECT v.w AS w_vector, l.w AS w_lexical FROM (VALUES (0.0), (0.5), (1.0), (2.0)) v(w), (VALUES (0.0), (0.5), (1.0), (2.0)) l(w)"
+
+
+@query(f"""{_LISTS}, fused AS ({_fused_sql("CASE WHEN s = 1 THEN w_vector ELSE w_lexical END", 5, "query_id, w_vector, w_lexical", f"CROSS JOIN ({_GRID})")}),
+    hits AS (SELECT w_vector, w_lexical, query_id AS case_id, chunk_id AS item, rank FROM fused),
+    rel AS (SELECT item_id AS case_id, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)), {_metric_sql("w_vector, w_lexical", 5)}
+    SELECT w_vector::DOUBLE AS w_vector, w_lexical::DOUBLE AS w_lexical, {', '.join(f'round(avg({m}), 9) AS {m}' for m in evaluate.METRICS)}, count(*) AS cases FROM metric GROUP BY ALL""")
+def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    rel = d.select("doc_id", "text").join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.col("text").contains(F.col("passage")))  # benchmark has a fixed size
+    out = evaluate.tune(_lists(spark, sf_dir), rel.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("item")), 5)
+    return out.select("w_vector", "w_lexical", *[F.round(m, 9).alias(m) for m in evaluate.METRICS], "cases")
+
+
+# --- incremental maintenance: before = documents; after = French ones gone, src1 edited, one copy of src2 under new keys -----
+
+_BEFORE = "before AS (SELECT 'd' || doc_id AS source_key, doc_id, sha256(text) AS content_hash, text FROM documents)"
+_AFTER = """after AS (SELECT source_key, doc_id, sha256(t) AS content_hash, t AS text FROM (SELECT 'd' || doc_id AS source_key, doc_id, CASE WHEN source = 'src1' THEN upper(text) ELSE text END AS t FROM documents WHERE lang <> 'fr'
+    UNION ALL SELECT 'n' || doc_id, doc_id + 100000000, text FROM documents WHERE source = 'src2'))"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    keyed = lambda df, p: df.select(F.concat(F.lit(p), "doc_id").alias("source_key"), "doc_id", "text")
+    edited = d.where("lang <> 'fr'").withColumn("text", F.when(F.col("source") == "src1", F.upper("text")).otherwise(F.col("text")))
+    after = keyed(edited, "d").unionByName(keyed(d.where("source = 'src2'"), "n").withColumn("doc_id", F.col("doc_id") + 100_000_000))
+    return tuple(df.withColumn("content_hash", F.sha2("text", 256)) for df in (keyed(d, "d"), after))
+
+
+_ACTION = """CASE WHEN a.source_key IS NULL THEN 'delete' WHEN b.source_key IS NULL THEN 'add' WHEN a.content_hash = b.content_hash THEN 'unchanged' ELSE 'reprocess' END"""
+_CLASSIFIED = f"WITH {_BEFORE}, {_AFTER}, c AS (SELECT coalesce(a.source_key, b.source_key) AS source_key, a.content_hash, {_ACTION} AS action FROM after a FULL JOIN before b ON a.source_key = b.source_key)"
+
+
+@query(f"{_CLASSIFIED} SELECT source_key, action FROM c")
+def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _versions(spark, sf_dir)
+    return incremental.classify(after, before).select("source_key", "action")
+
+
+@query(f"{_CLASSIFIED} SELECT 'documents' AS component, action, count(*) AS n FROM c GROUP BY action UNION ALL SELECT 'total', action, count(*) FROM c GROUP BY action")
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _versions(spark, sf_dir)
+    return incremental.run_stats(incremental.classify(after, before), F.lit("documents"))
+
+
+@query(f"WITH {_BEFORE}, {_AFTER} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'insert' WHEN a.doc_id IS NULL THEN 'delete' WHEN a.text = b.text THEN 'skip' ELSE 'replace' END AS action FROM after a FULL JOIN before b ON a.doc_id = b.doc_id")
+def row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _versions(spark, sf_dir)
+    return incremental.row_diff(after, before, ["doc_id"], ["text"])
+
+
+@query(f"WITH {_BEFORE}, {_AFTER} SELECT source_key, doc_id AS row_id FROM before b WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.source_key = b.source_key AND a.doc_id = b.doc_id)")
+def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = (v.select("source_key", F.col("doc_id").alias("row_id")) for v in _versions(spark, sf_dir))
+    return incremental.orphans(before, after)
+
+
+@query(f"WITH {_BEFORE}, {_AFTER} SELECT DISTINCT source_key FROM before WHERE source_key NOT IN (SELECT source_key FROM after)")
+def sweep_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.sweep(*_versions(spark, sf_dir))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(stable_id(F.col("text")).alias("chunk_id"), F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+
+
+# --- events -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.windows(table(spark, sf_dir, "events"), "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
+    FROM events, (SELECT unnest(range(4)) AS k) GROUP BY ALL""")
+def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.windows(table(spark, sf_dir, "events"), "1 hour", "15 minutes").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.sessions(table(spark, sf_dir, "events"), "30 minutes").withColumn("total", F.round("total", 4))
