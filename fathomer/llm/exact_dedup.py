@@ -99,8 +99,7 @@ def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
                 null = np.asarray(col.is_null())
                 yield _add(None, b, _FP, [pa.array(fp[:, j], pa.int64(), mask=null) for j in range(3)])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{c} bigint" for c in _FP])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, frames.with_fields(df.schema, *((c, "bigint") for c in _FP)))
 
 
 def fingerprint_parts(parts: DataFrame, key: str, seq: str, text: str) -> DataFrame:
@@ -149,8 +148,7 @@ def _classes(df: DataFrame, keys: list[str], doc_id: str, text: str) -> DataFram
                     first.append(False)
             yield _add(None, batch, ["_fx_rep", "_fx_first"], [pa.array(rep, batch.schema.field(doc_id).type), pa.array(first, pa.bool_())])
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"_fx_rep {kind}", "_fx_first boolean"])
+    schema = frames.with_fields(df.schema).add("_fx_rep", df.schema[doc_id].dataType).add("_fx_first", "boolean")
     return df.repartition(*keys).sortWithinPartitions(*keys, F.col(doc_id).asc_nulls_last()).mapInArrow(run, schema)
 
 
@@ -183,6 +181,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return below.union(top.where("not _fx_first").selectExpr("doc_id", "_fx_rep", "_fx_n"))
 
 
+@frames.shielded
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the later copies of any text; columns as they were."""
     unique, many = _split(docs, doc_id, text)

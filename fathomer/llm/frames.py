@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StructField, StructType
 
 #: A side of a join is broadcast up to so many estimated bytes; beyond it, Spark shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -65,6 +67,27 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
+def shielded(f):
+    """A function of docs whose own columns may carry this package's working names (_fx_...): they are renamed meanwhile."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        away = {c: f"_shield{i}" for i, c in enumerate(docs.columns) if c.lower().startswith("_fx_")}
+        out = f(docs.withColumnsRenamed(away), *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
+def with_fields(schema: StructType, *fields: tuple[str, str]) -> StructType:
+    """schema and further nullable fields (name, type)."""
+    return StructType([StructField(f.name, f.dataType, True) for f in schema.fields] + [StructField(n, _parse(t), True) for n, t in fields])
+
+
+def _parse(kind: str) -> DataType:
+    return {"bigint": LongType(), "double": DoubleType(), "boolean": BooleanType()}[kind]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each connected component, of nodes that have edges (a, b).
 

@@ -65,7 +65,7 @@ def minima(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def pack(m: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The low bits of each row's minima in 64-bit lanes."""
-    low = (m & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(m), -1, 64 // bits)
+    low = (m & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(m), m.shape[1] * bits // 64, 64 // bits)
     return (low << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits))).sum(axis=2, dtype=np.uint64)
 
 
@@ -188,6 +188,7 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
     return pairs.select("node", "root", "sig", "root_sig").mapInArrow(estimate, "doc_id bigint, duplicate_of bigint, similarity double")
 
 
+@frames.shielded
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group; columns as they were."""
     sigs, groups = _decide(docs, threshold, doc_id, text)

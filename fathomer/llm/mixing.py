@@ -151,6 +151,7 @@ def sample(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION) -> Da
     return out.select("doc_id", "source", "lang", F.col("_fx_topic").alias("topic"), tokens(F.col("text")).alias("n_tokens"), F.round("_fx_p", 9).alias("p"))
 
 
+@frames.shielded
 def mix(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """The drawn documents, columns as they were."""
     return _drawn(docs, topics, fraction).select(*docs.columns)

@@ -190,8 +190,7 @@ def _scored(docs: DataFrame, chain: Chain | None, text: str, most: float | None)
                 else:
                     yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(NAMES)))], [*b.schema.names, *(f"_fx_{c}" for c in NAMES)])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join(fields if most is not None else [*fields, *(f"_fx_{c} double" for c in NAMES)]))
+    return docs.mapInArrow(run, frames.with_fields(docs.schema, *([] if most is not None else [(f"_fx_{c}", "double") for c in NAMES])))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,6 +200,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     return out.select("doc_id", *[F.round(f"_fx_{c}", 6).alias(f"p_{c}") for c in NAMES])
 
 
+@frames.shielded
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that the chain rejects; columns as they were."""
     return _scored(docs, fit(docs, labels, doc_id, text), text, threshold)
