@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import frames
 
 SWEEPS = 30
+HALVINGS = 60
 DRIVER_CELLS = 1_000_000
 FRACTION = 0.8
 POWER = 0.9
@@ -50,10 +51,10 @@ def _targets(margin: str, values: np.ndarray, actual: np.ndarray) -> np.ndarray:
     return out / max(out.sum(), 1e-300)
 
 
-def rake(codes: list[np.ndarray], weight: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
+def rake(codes: list[np.ndarray], weight: np.ndarray, targets: list[np.ndarray], sweeps: int | None = None) -> np.ndarray:
     """Raked shares of the cells: codes[m] is each cell's value of margin m."""
     x = weight / max(weight.sum(), 1e-300)
-    for _ in range(sweeps):
+    for _ in range(SWEEPS if sweeps is None else sweeps):
         for code, t in zip(codes, targets):
             s = np.bincount(code, x, len(t))
             x = x * (t / np.where(s > 0, s, 1.0))[code]
@@ -114,7 +115,7 @@ def _on_cluster(cells: DataFrame, fraction: float) -> DataFrame:
         x = frames.cut(x)
     x = frames.cut(x.withColumn("ratio", F.col("x") * F.lit(float(total)) / F.col("weight")))
     lo, hi = 0.0, float(1 / max(x.agg(F.min("ratio")).first()[0] or 1.0, 1e-300))
-    for _ in range(60):
+    for _ in range(HALVINGS):
         c = (lo + hi) / 2
         got = x.agg(F.sum(F.col("weight") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio")))).first()[0] or 0.0
         lo, hi = (c, hi) if got < fraction * total else (lo, c)
