@@ -26,9 +26,12 @@ def session(app: str = "fathomer", **settings: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run; once per session."""
+    """On a single machine, make this package importable in Python workers whatever the working directory is; once per session.
+
+    On a cluster the package is deployed with the job (--py-files or the executors' path).
+    """
     sc = spark.sparkContext
-    if getattr(sc, "_fathomer_shipped", False):
+    if getattr(sc, "_fathomer_shipped", False) or not sc.master.startswith("local["):
         return
     sc._fathomer_shipped = True
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -39,4 +42,4 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(at)  # Spark copies it to every executor
+    sc.addPyFile(at)
