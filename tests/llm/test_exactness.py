@@ -43,7 +43,7 @@ def test_blobs_round_trip(rows):
     assert sorted(r.tobytes() for r in back) == sorted(r.tobytes() for r in rec) and batch.num_rows == len(set(part))
 
 
-# --- exact dedup ------------------------------------------------------------------------------------------------------
+# exact dedup
 
 
 def poly(data: bytes) -> tuple[int, int, int]:
@@ -79,7 +79,7 @@ def test_equal_fingerprints_are_still_compared(spark, monkeypatch):
     assert sorted(tuple(r)[:2] for r in exact_dedup.duplicates(df).collect()) == [(3, 1), (4, 2)]
 
 
-# --- line dedup -------------------------------------------------------------------------------------------------------
+# line dedup
 
 
 @pytest.mark.parametrize("threshold", [0.85, 0.6])
@@ -109,7 +109,7 @@ def test_lines_are_cut_out(spark):
     assert out == {1: "a b c d\nkeep one two\n\nx y z w", 2: "new line here"}
 
 
-# --- minhash ----------------------------------------------------------------------------------------------------------
+# minhash
 
 
 def groups_of(pairs, ids):
@@ -176,7 +176,7 @@ def test_components(spark):
     assert {r.node: r.root for r in got.collect()} == want
 
 
-# --- mixing and packing -----------------------------------------------------------------------------------------------
+# mixing and packing
 
 
 def test_raking_meets_targets_and_budget(spark, docs, sf, monkeypatch):
@@ -211,7 +211,7 @@ def test_boundaries_are_optimal(hist, k):
     assert len(got) <= k and got[-1] == length[-1] and cost(got) == best
 
 
-# --- html -------------------------------------------------------------------------------------------------------------
+# html
 
 
 @settings(max_examples=80, deadline=None)
@@ -241,7 +241,7 @@ def test_extraction_on_held_out_pages(spark):
     assert hit / got > 0.98 and hit / want > 0.98
 
 
-# --- toxicity ---------------------------------------------------------------------------------------------------------
+# toxicity
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -259,7 +259,7 @@ def test_toxicity_on_held_out_documents(spark):
     assert len(chain.weights) == len(toxicity.CATEGORIES) and len(chain.weights[2]) == len(chain.weights[0]) + 2
 
 
-# --- licences ---------------------------------------------------------------------------------------------------------
+# licences
 
 
 def brute_scan(words: list[bytes], index: licenses.Index) -> set[tuple[str, int]]:
@@ -297,7 +297,7 @@ def test_license_scan(spark, docs):
     assert all(name in got[90_000 + i] for i, (name, _, _) in enumerate(licenses.TEMPLATES))
 
 
-# --- language identification --------------------------------------------------------------------------------------------
+# language identification
 
 
 def test_gradients_by_differences(monkeypatch):
@@ -330,7 +330,7 @@ def test_language_on_held_out_documents(spark):
     assert len(labels) == len(text.encode()) and [labels.count(k) for k in model.langs] == one_c[0].tolist()
 
 
-# --- nearest neighbours -------------------------------------------------------------------------------------------------
+# nearest neighbours
 
 
 def test_recall_and_exact_cosines(spark, sf, monkeypatch):
@@ -359,7 +359,7 @@ def test_partitions_are_balanced():
     assert np.bincount(label).tolist() == [80] * 8 and cut < (rng.permutation(label)[near] != label[:, None]).mean() - 0.2
 
 
-# --- queries ------------------------------------------------------------------------------------------------------------
+# queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
