@@ -10,16 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SUFFIX_LANGUAGE
+from ..functions.text import SENTENCE_END, SUFFIX_LANGUAGE
 from .embed import hashed_vector
 
 Span = tuple[int, int]
 CHUNKS = "array<struct<ordinal:int,text:string,start:int,end:int>>"
-SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+(?=[A-Z0-9])|\n{2,}")
 
 _TAIL = ["\n\n+", "\n", " "]
-_ACCESS = r"\n[ \t]*(?:%s)[^\n]*"
-_FUNCTION = r"\n\w[^\n]*\([^\n]*\)[ \t]*\{"
+_ACCESS = "\n[ \t]*(?:%s)[^\n]*"
+_REST = "[^\n]*"
+_FUNCTION = rf"\n\w{_REST}\({_REST}\)" + "[ \t]*[{]"
 
 
 def _starts(*words: str) -> list[str]:
@@ -40,7 +40,7 @@ SEPARATORS: dict[str, list[str]] = {
     "javascript": _starts("class", "function", "const", "let", "var") + _TAIL,
     "python": ["\nclass ", "\n[ \t]*def ", "\n[ \t]*async def ", *_TAIL],
 }
-GENERIC = ["\n\n+", r"(?<=[.!?])\s+", "\n", " "]
+GENERIC = [_TAIL[0], "(?<=[.!?])" + r"\s+", *_TAIL[1:]]
 
 
 def separators_for(language: str | None, custom: dict[str, list[str]] | None = None) -> list[str]:
@@ -137,7 +137,7 @@ def separator_spans(text: str, patterns: Sequence[str], keep: str | None = None,
 
 def sentence_spans(text: str) -> list[Span]:
     """Sentences with what follows them up to the next one; blank ones dropped."""
-    cuts = [0, *(m.end() for m in SENTENCE_END.finditer(text)), len(text)]
+    cuts = [0, *(m.end() for m in re.finditer(SENTENCE_END, text)), len(text)]
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if text[a:b].strip()]
 
 

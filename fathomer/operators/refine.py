@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PROSE = re.compile(r"[ \t]+(?=\n|\Z)|\n[ \t\n]*|[ \t]+")
-_CODE = re.compile(r"[ \t]+(?=\n|\Z)|\n+")
+_SPACE = r"[ \t]+"
+_PROSE, _CODE = (re.compile(rf"{_SPACE}(?=\n|\Z)|{rest}") for rest in (rf"\n[ \t\n]*|{_SPACE}", r"\n+"))
 _LINE_END = re.compile(r"\r\n?")
 
 

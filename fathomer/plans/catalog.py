@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- ids, inventories, cleaning ---------------------------------------------------------------------------------------
+# ids, inventories, cleaning
 
 _ID = "CASE WHEN {h} >= 9223372036854775808 THEN {h} - 18446744073709551616 ELSE {h} END::BIGINT".replace("{h}", "(('0x' || substr(sha256({t}), 1, 16))::UBIGINT::HUGEINT)")
 
@@ -103,7 +103,7 @@ def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", refine.nfc("text").alias("text"))
 
 
-# --- splitting ----------------------------------------------------------------------------------------------------------
+# splitting
 
 
 def _ordered(parts: str) -> str:
@@ -154,7 +154,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "path", fx.language_of(F.col("path")).alias("language"))
 
 
-# --- embedding and search -----------------------------------------------------------------------------------------------
+# embedding and search
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+')) AS token FROM documents),
@@ -266,7 +266,7 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("query_id", fx.expand(F.col("query")).alias("expanded"))
 
 
-# --- fusion -------------------------------------------------------------------------------------------------------------
+# fusion
 
 _VEC = f"vec AS ({_vector_sql(20, 'q.vec_id IN (SELECT item_id FROM benchmark)')})"
 _LISTS = f"WITH {_BM25}, {_VEC}, lists AS (SELECT query_id, 'vector' AS strategy, 1 AS s, row_id AS chunk_id, rank FROM vec UNION ALL SELECT query_id, 'lexical', 2, row_id, rank FROM lex)"
@@ -333,7 +333,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(q, corpus, search.Options(limit=5, expansion=True, mmr=True)).drop("text")
 
 
-# --- graph --------------------------------------------------------------------------------------------------------------
+# graph
 
 _WORD = r"[\p{L}\p{N}_]*[^\x00-\x7F\p{P}\p{S}\p{Z}][\p{L}\p{N}_]*"
 _MENTION = rf"""sent AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS sent FROM (
@@ -341,8 +341,8 @@ _MENTION = rf"""sent AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p,
     clean AS (SELECT doc_id, sent, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS evidence FROM sent WHERE regexp_replace(raw, '\s+', '', 'g') <> ''),
     masked AS (SELECT doc_id, sent, evidence, regexp_replace(evidence, '{_WORD}', '~', 'g') AS m FROM clean),
     found AS (SELECT doc_id, sent, evidence, list_concat(
-        list_transform(regexp_extract_all(m, '\b([A-Z][A-Za-z0-9]*(?:[ \-][A-Z][A-Za-z0-9]*)*)\b', 1), lambda x: {{'name': trim(regexp_replace(x, '\s+', ' ', 'g')), 'type': 'Concept'}}),
-        list_transform(regexp_extract_all(m, '`[^`]+`|\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b'), lambda x: {{'name': trim(regexp_replace(replace(x, '`', ''), '\s+', ' ', 'g')), 'type': 'Symbol'}})) AS ms FROM masked),
+        list_transform(regexp_extract_all(m, '\b({extract._CAPITAL}(?:[ \-]{extract._CAPITAL})*)\b', 1), lambda x: {{'name': trim(regexp_replace(x, '\s+', ' ', 'g')), 'type': 'Concept'}}),
+        list_transform(regexp_extract_all(m, '`[^`]+`|\b[a-z]{extract._PART}*(?:_{extract._PART}+)+\b'), lambda x: {{'name': trim(regexp_replace(replace(x, '`', ''), '\s+', ' ', 'g')), 'type': 'Symbol'}})) AS ms FROM masked),
     kept AS (SELECT doc_id, sent, evidence, list_filter(ms, lambda x: length(x.name) > 2 AND lower(x.name) NOT IN ({", ".join(repr(w) for w in extract.STOP)})) AS ms FROM found),
     each_ AS (SELECT doc_id, sent, evidence, unnest(ms) AS e, generate_subscripts(ms, 1) - 1 AS pos FROM kept),
     mention AS (SELECT doc_id, sent, pos, e.name AS name, e.type AS type, lower(e.name) AS low FROM each_ QUALIFY row_number() OVER (PARTITION BY doc_id, sent, lower(e.name) ORDER BY pos) = 1)"""
@@ -443,7 +443,7 @@ def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(fx.normalise_name(F.col("p_type")).alias("norm")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("root"))
 
 
-# --- evaluation ---------------------------------------------------------------------------------------------------------
+# evaluation
 
 _METRICS = "hit, mrr, precision, recall, map"
 
@@ -514,7 +514,7 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("w_vector", "w_lexical", *[F.round(m, 9).alias(m) for m in evaluate.METRICS], "cases")
 
 
-# --- incremental maintenance: before = documents; after = French ones gone, src1 edited, one copy of src2 under new keys -----
+# incremental maintenance: before = documents; after = French ones gone, src1 edited, one copy of src2 under new keys
 
 _BEFORE = "before AS (SELECT 'd' || doc_id AS source_key, doc_id, sha256(text) AS content_hash, text FROM documents)"
 _AFTER = """after AS (SELECT source_key, doc_id, sha256(t) AS content_hash, t AS text FROM (SELECT 'd' || doc_id AS source_key, doc_id, CASE WHEN source = 'src1' THEN upper(text) ELSE text END AS t FROM documents WHERE lang <> 'fr'
@@ -567,7 +567,7 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(stable_id(F.col("text")).alias("chunk_id"), F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
 
 
-# --- events -------------------------------------------------------------------------------------------------------------
+# events
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -11,14 +11,14 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, graph
+from ..operators import evaluate, fusion, graph
 from ..session import session, ship
 from ..storage import Snapshots, drop
 from ..streaming.incremental import Target
 from . import ingest, search
 
 REVIEWS = "id bigint, action string, at timestamp"
-MODES = ("auto", "hybrid", "vector", "lexical", "graph")
+MODES = ("auto", *fusion.MODES)
 
 
 class Knowledge:
