@@ -2,8 +2,10 @@
 
 Documents are counted in tokens by cell (source, language, topic). Raking scales the cells' weights until
 their sums by source, by language and by topic meet the targets; each document is then kept with the
-probability c * raked / actual of its cell, at most 1, with c set so that the expected number of
-tokens is ``fraction`` of all. The draw is a fixed function of doc_id (md5), so it is repeatable
+probability c * raked / actual of its cell, with c set so that the expected number of tokens is ``fraction`` of all, or
+as near to it as the targets allow: no probability may exceed 1, so c is at most actual / raked of every cell, and then the
+kept tokens meet the targets and are fewer than ``fraction``. With ``clip`` the probabilities are cut at 1 instead: the number of
+tokens is met and the targets are missed; ``sample`` does so, as its SQL does. The draw is a fixed function of doc_id (md5), so it is repeatable
 and needs no shuffle of texts.
 
 Targets: a share for each value of a margin; values without one share the rest in proportion to
@@ -77,7 +79,7 @@ def scale(ratio: np.ndarray, weight: np.ndarray, fraction: float) -> float:
     return float(1 / r[r > 0].min()) if (r > 0).any() else 1.0
 
 
-def _on_driver(cells: DataFrame, fraction: float) -> DataFrame:
+def _on_driver(cells: DataFrame, fraction: float, clip: bool) -> DataFrame:
     import pandas as pd
 
     pdf = cells.toPandas().sort_values(list(MARGINS), ignore_index=True)
@@ -89,12 +91,15 @@ def _on_driver(cells: DataFrame, fraction: float) -> DataFrame:
         targets.append(_targets(m, values, np.bincount(code, w, len(values))))
     x = rake(codes, w, targets)
     ratio = np.where(w > 0, x * w.sum() / np.where(w > 0, w, 1), 0.0)
-    p = np.where(w > 0, np.minimum(1.0, scale(ratio, w, fraction) * ratio), 1.0)
+    c = scale(ratio, w, fraction)
+    if not clip and (ratio > 0).any():
+        c = min(c, float(1 / ratio.max()))
+    p = np.where(w > 0, np.minimum(1.0, c * ratio), 1.0)
     out = pd.DataFrame({**{m: pdf[m] for m in MARGINS}, "p": p})
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic int, p double")
 
 
-def _on_cluster(cells: DataFrame, fraction: float) -> DataFrame:
+def _on_cluster(cells: DataFrame, fraction: float, clip: bool) -> DataFrame:
     """The same sweeps where the cells are too many for the driver."""
     total = cells.agg(F.sum("weight")).first()[0] or 0
     x = cells.where("weight > 0").withColumn("x", F.col("weight") / F.lit(float(max(total, 1))))
@@ -114,11 +119,14 @@ def _on_cluster(cells: DataFrame, fraction: float) -> DataFrame:
             x = x.join(s, m).withColumn("x", F.col("x") * F.col("f")).drop("f")
         x = frames.cut(x)
     x = frames.cut(x.withColumn("ratio", F.col("x") * F.lit(float(total)) / F.col("weight")))
-    lo, hi = 0.0, float(1 / max(x.agg(F.min("ratio")).first()[0] or 1.0, 1e-300))
+    least, most = x.agg(F.min("ratio"), F.max("ratio")).first()
+    lo, hi = 0.0, float(1 / max(least or 1.0, 1e-300))
     for _ in range(HALVINGS):
         c = (lo + hi) / 2
         got = x.agg(F.sum(F.col("weight") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio")))).first()[0] or 0.0
         lo, hi = (c, hi) if got < fraction * total else (lo, c)
+    if not clip:
+        hi = min(hi, 1 / (most or 1.0))
     kept = x.select(*MARGINS, F.least(F.lit(1.0), F.lit(hi) * F.col("ratio")).alias("p"))
     return kept.union(cells.where("weight <= 0").select(*MARGINS, F.lit(1.0)))
 
@@ -131,24 +139,24 @@ def _keyed(docs: DataFrame, topics: DataFrame) -> DataFrame:
     return keyed.withColumns({"_fx_source": F.coalesce("source", F.lit("")), "_fx_lang": F.coalesce("lang", F.lit("")), "_fx_topic": F.coalesce("_fx_label", F.lit(-1))})
 
 
-def probabilities(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def probabilities(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION, driver_cells: int = DRIVER_CELLS, clip: bool = False) -> DataFrame:
     """(source, lang, topic, p) of every cell."""
     narrow = docs.select("doc_id", "source", "lang", tokens(F.col("text")).alias("_fx_tokens"))
     cells = _keyed(narrow, topics).groupBy(*[F.col(f"_fx_{m}").alias(m) for m in MARGINS]).agg(F.sum("_fx_tokens").alias("weight"))
     cells = frames.written(cells, "cells")
-    return _on_driver(cells, fraction) if cells.count() <= driver_cells else _on_cluster(cells, fraction)
+    return _on_driver(cells, fraction, clip) if cells.count() <= driver_cells else _on_cluster(cells, fraction, clip)
 
 
-def _drawn(docs: DataFrame, topics: DataFrame, fraction: float) -> DataFrame:
-    p = frames.written(probabilities(docs, topics, fraction), "mix").select(*[F.col(m).alias(f"_fx_{m}") for m in MARGINS], F.col("p").alias("_fx_p"))
+def _drawn(docs: DataFrame, topics: DataFrame, fraction: float, clip: bool = False) -> DataFrame:
+    p = frames.written(probabilities(docs, topics, fraction, clip=clip), "mix").select(*[F.col(m).alias(f"_fx_{m}") for m in MARGINS], F.col("p").alias("_fx_p"))
     keyed = _keyed(docs, topics).join(frames.small(p, 64), [f"_fx_{m}" for m in MARGINS])
     return keyed.where(frames.uniform(F.col("doc_id")) < F.col("_fx_p"))
 
 
 def sample(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """The drawn documents: doc_id, source, lang, topic, n_tokens, p."""
+    """The drawn documents, clipped as the SQL is: doc_id, source, lang, topic, n_tokens, p."""
     narrow = docs.select("doc_id", "source", "lang", "text")
-    out = _drawn(narrow, topics, fraction)
+    out = _drawn(narrow, topics, fraction, clip=True)
     return out.select("doc_id", "source", "lang", F.col("_fx_topic").alias("topic"), tokens(F.col("text")).alias("n_tokens"), F.round("_fx_p", 9).alias("p"))
 
 

@@ -197,6 +197,23 @@ def test_raking_meets_targets_and_budget(spark, docs, sf, monkeypatch):
     assert abs((w * np.minimum(1, c * ratio)).sum() / w.sum() - 0.6) < 1e-9
 
 
+def test_kept_margins_meet_targets(spark):
+    """Few documents in other languages: the English share is met though far fewer tokens than ``fraction`` are left."""
+    docs = spark.createDataFrame([(i, "a word " * (1 + i % 5), "en" if i % 10 else "de", f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, lang string, source string")
+    topics = spark.createDataFrame([(i, i % 2) for i in range(200)], "vec_id bigint, label int")
+    weight = {}
+    for r in docs.collect():
+        cell = (r.source, r.lang, r.doc_id % 2 if r.doc_id < 200 else -1)
+        weight[cell] = weight.get(cell, 0) + len(r.text.split())
+    p = {(r.source, r.lang, r.topic): r.p for r in mixing.probabilities(docs, topics).collect()}
+    kept = sum(weight[k] * p[k] for k in weight)
+    for m, name in enumerate(mixing.MARGINS):
+        values = sorted({k[m] for k in weight})
+        actual, got = (np.array([sum(v * (p[k] if drawn else 1) for k, v in weight.items() if k[m] == x) for x in values]) for drawn in (False, True))
+        assert np.abs(got / kept - mixing._targets(name, np.array(values), actual)).max() < 1e-9, name
+    assert max(p.values()) > 0.999 and kept / sum(weight.values()) < mixing.FRACTION
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 20), min_size=1, max_size=9), st.integers(1, 4))
 def test_boundaries_are_optimal(hist, k):
