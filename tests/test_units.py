@@ -120,6 +120,27 @@ def test_resolution(spark):
     assert resolve.resolve(two, v, adjudicate=lambda a, b: F.lit(True))[0].count() == 1
 
 
+def test_candidates_of_either_side(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((30, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(x @ x.T, 9)
+    want = set()
+    for i in range(30):
+        near = sorted(((sim[i, j], j) for j in range(30) if j != i and sim[i, j] >= 0.5), reverse=True)
+        want |= {(min(i, j), max(i, j)) for _, j in near[:2]}
+    assert {(r.i, r.j) for r in resolve.candidate_pairs(v, 0.5, 2).collect()} == want
+
+
+def test_resolve_merges_the_closest_pair_of_the_larger_id(spark):
+    """0 has ten larger partners that are closer than 11, whose closest partner is 0."""
+    angle = [0.0, *[0.2 + 0.001 * k for k in range(10)], -0.3]
+    e = spark.createDataFrame([(i, f"name{i}", "Concept", 0.5) for i in range(12)], "id bigint, name string, type string, confidence double")
+    v = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "id bigint, embedding array<double>")
+    assert resolve.resolve(e, v)[0].count() == 1
+
+
 def test_reply_parsing(spark):
     reply = 'Sure: {"entities": [{"name": "A", "type": "T", "confidence": 2}, {"name": ""}], "relations": [{"subject": "A", "predicate": "Depends On", "object": "B"}]} done'
     v = value(spark, extract.parse_reply(F.lit(reply)))
