@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathomer import ids
 from fathomer.functions import text as fx
 from fathomer.operators import chunk, evaluate, extract, fusion, graph, refine, rerank, resolve
+from fathomer.plans import catalog
 
 
 def value(spark, column):
@@ -141,6 +142,20 @@ def test_resolve_merges_the_closest_pair_of_the_larger_id(spark):
     assert resolve.resolve(e, v)[0].count() == 1
 
 
+def test_graph_search_has_all_edges(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(14, 3))
+    e = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(x @ x.T, 12)
+    rows = [(i * 10_000_000 + j, i, j, "near", round(float(sim[i, j]), 6), i) for i in range(14) for j in range(i + 1, 14) if sim[i, j] >= 0.35]
+    assert max(sum(r[1] == i for r in rows) for i in range(14)) > 3
+    edges = spark.createDataFrame(rows, "id bigint, subject_id bigint, object_id bigint, predicate string, confidence double, chunk_id bigint")
+    nodes = e.selectExpr("vec_id AS id", "embedding", "array(vec_id) AS chunk_ids")
+    want = graph.search(e.selectExpr("vec_id AS query_id", "embedding AS query_vector"), nodes, edges, 5)
+    assert sorted(map(tuple, catalog.QUERIES["graph_search"](spark, str(tmp_path)).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_reply_parsing(spark):
     reply = 'Sure: {"entities": [{"name": "A", "type": "T", "confidence": 2}, {"name": ""}], "relations": [{"subject": "A", "predicate": "Depends On", "object": "B"}]} done'
     v = value(spark, extract.parse_reply(F.lit(reply)))
