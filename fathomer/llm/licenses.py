@@ -36,6 +36,8 @@ _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must "
     "retain the above copyright notice, this list of conditions and the following disclaimer."
 )
+#: Names with an SPDX identifier, and what the identifier has besides the name.
+SPDX = (("MIT", ""), ("Apache-2.0", ""), ("GPL-3.0", "-only"), ("GPL-2.0", "-only"), ("GPL-3.0-or-later", ""), ("LGPL-3.0", "-only"), ("AGPL-3.0", "-only"), ("MPL-2.0", ""), ("CC-BY-4.0", ""), ("CC-BY-SA-4.0", ""), ("CC-BY-NC-4.0", ""), ("CC0-1.0", ""), ("Unlicense", ""))
 #: (licence, template text, mandatory key phrases)
 TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("MIT", "Released under the MIT License.", ("mit license",)),
@@ -56,6 +58,15 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative commons attribution 4 0",)),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal.", ("cc0 1 0",)),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", ("free and unencumbered software",)),
+    ("All-rights-reserved", "All rights reserved.", ("all rights reserved",)),
+    ("MIT", "MIT License", ("mit license",)),
+    ("Apache-2.0", "Apache License 2.0", ("apache license 2 0",)),
+    ("Apache-2.0", "Apache License v2.0", ("apache license v2 0",)),
+    ("GPL-3.0", "GNU GPL v3", ("gnu gpl v3",)),
+    ("GPL-3.0", "GNU GPLv3", ("gnu gplv3",)),
+    ("GPL-2.0", "GNU GPL v2", ("gnu gpl v2",)),
+    ("GPL-2.0", "GNU GPLv2", ("gnu gplv2",)),
+    *((name, f"SPDX-License-Identifier: {name}{only}", ("spdx license identifier " + (name + only).lower().replace("-", " ").replace(".", " "),)) for name, only in SPDX),
 )
 
 

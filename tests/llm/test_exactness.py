@@ -314,6 +314,22 @@ def test_license_scan(spark, docs):
     assert all(name in got[90_000 + i] for i, (name, _, _) in enumerate(licenses.TEMPLATES))
 
 
+def test_license_wordings(spark, docs):
+    """Notices that aren't copies of a template, and sentences that are no notice."""
+    found = [
+        ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0-or-later", "/* SPDX-License-Identifier: GPL-3.0-or-later */"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+        ("Apache-2.0", "distributed under Apache License 2.0, see the file"), ("GPL-3.0", "this program is GNU GPL v3 software"), ("GPL-3.0", "covered by the GNU GPLv3"), ("MIT", "see LICENSE (MIT License) for details"),
+        ("All-rights-reserved", "Copyright 2020 Somebody. All rights reserved."),
+    ]
+    none = ["all seats were reserved by right", "a license from the mit campus", "the apache version of 2 0", "spdx identifier of a license"]
+    planted = [(90_000 + i, t) for i, t in enumerate([t for _, t in found] + none)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id bigint, text string"))
+    got = {}
+    for r in licenses.scan(both).where("doc_id >= 90000").collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {90_000 + i: {name} for i, (name, _) in enumerate(found)}
+
+
 # language identification
 
 
