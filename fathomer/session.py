@@ -31,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     On a cluster the package is deployed with the job (--py-files or the executors' path).
     """
     sc = spark.sparkContext
-    if getattr(sc, "_fathomer_shipped", False) or not sc.master.startswith("local["):
+    if getattr(sc, "_fathomer_shipped", False) or not (sc.master == "local" or sc.master.startswith("local[")):
         return
     sc._fathomer_shipped = True
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

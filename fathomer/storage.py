@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_fathomer_folder", None)
     if not at:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = sc._fathomer_folder = tempfile.mkdtemp(prefix="fathomer-")
     return at
