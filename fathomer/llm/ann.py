@@ -65,21 +65,30 @@ def exact_top(queries: np.ndarray, base: np.ndarray, k: int, skip: np.ndarray |
     order = np.argsort(ids, kind="stable")
     base, sorted_ids = base[order], ids[order]
     out, sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
+    m = len(base)
+    most = min(k, m)
+    if most == 0:
+        return out, sims
+    g = max(1, min(64, m // (4 * most)))
+    whole = m // g * g
     for a in range(0, len(queries), 512):
         s = queries[a : a + 512] @ base.T
-        if skip is not None and len(base):
-            at = np.minimum(np.searchsorted(sorted_ids, skip[a : a + 512]), len(base) - 1)
+        if skip is not None:
+            at = np.minimum(np.searchsorted(sorted_ids, skip[a : a + 512]), m - 1)
             own = np.flatnonzero(sorted_ids[at] == skip[a : a + 512])
             s[own, at[own]] = -np.inf
-        m = min(k, s.shape[1])
-        if m == 0:
-            continue
-        kth = np.partition(s, s.shape[1] - m, axis=1)[:, -m]
-        for i in range(len(s)):
-            c = np.flatnonzero(s[i] >= kth[i])
-            c = c[np.argsort(-s[i, c], kind="stable")][:m]
-            c = c[np.isfinite(s[i, c])]
-            out[a + i, : len(c)], sims[a + i, : len(c)] = order[c], s[i, c]
+        # The k-th largest of the maxima of groups of columns: at least k values reach it, and few more.
+        top = s[:, :whole].reshape(len(s), -1, g).max(axis=2)
+        if whole < m:
+            top = np.column_stack([top, s[:, whole:].max(axis=1)])
+        i, j = np.nonzero(s >= np.partition(top, top.shape[1] - most, axis=1)[:, -most, None])
+        v = s[i, j]
+        o = np.lexsort((j, -v, i))
+        i, j, v = i[o], j[o], v[o]
+        start, size = kernels.runs(i)
+        rank = np.arange(len(i)) - np.repeat(start, size)
+        ok = (rank < most) & np.isfinite(v)
+        out[a + i[ok], rank[ok]], sims[a + i[ok], rank[ok]] = order[j[ok]], v[ok]
     return out, sims
 
 

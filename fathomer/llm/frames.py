@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark.sparkContext, "_fathomer_shared", None) or tempfile.mkdtemp(prefix="fathomer-")
         spark.sparkContext._fathomer_shared = at
@@ -43,11 +46,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _hadoop(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; it can be pruned and filtered when read."""
-    at = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    """df as a Parquet table in the shared folder; it can be pruned and filtered when read.
+
+    The table goes at the end of the innermost ``scope``; without one, when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    fs, path = _hadoop(spark, at)
+    fs.deleteOnExit(path)
+    scopes = getattr(spark.sparkContext, "_fathomer_scopes", [])
+    if scopes:
+        scopes[-1].append(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at its end: nothing may read them later."""
+    sc = spark.sparkContext
+    sc._fathomer_scopes = [*getattr(sc, "_fathomer_scopes", []), []]
+    try:
+        yield
+    finally:
+        for at in sc._fathomer_scopes.pop():
+            fs, path = _hadoop(spark, at)
+            fs.delete(path, True)
+
+
+def kept(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns as a written table, without the tables that were written on the way."""
+    with scope(spark):
+        out = written(make(), name)
+        spark.sparkContext._fathomer_scopes[-1].pop()
+    return out
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -72,7 +110,9 @@ def shielded(f):
 
     @functools.wraps(f)
     def run(docs: DataFrame, *args, **options) -> DataFrame:
-        away = {c: f"_shield{i}" for i, c in enumerate(docs.columns) if c.lower().startswith("_fx_")}
+        taken = {c.lower() for c in docs.columns}
+        spare = (n for i in itertools.count() if (n := f"_shield{i}") not in taken)
+        away = {c: next(spare) for c in docs.columns if c.lower().startswith("_fx_")}
         out = f(docs.withColumnsRenamed(away), *args, **options)
         return out.withColumnsRenamed({v: k for k, v in away.items()})
 
@@ -86,26 +126,3 @@ def with_fields(schema: StructType, *fields: tuple[str, str]) -> StructType:
 
 def _parse(kind: str) -> DataType:
     return {"bigint": LongType(), "double": DoubleType(), "boolean": BooleanType()}[kind]
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each connected component, of nodes that have edges (a, b).
-
-    Alternates the large-star and small-star steps until the edges no longer change; each round is checkpointed.
-    """
-    e = cut(edges.selectExpr("least(a, b) AS lo", "greatest(a, b) AS hi").where("lo < hi").distinct())
-    last = None
-    for _ in range(most_rounds):
-        state = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == last or state[0] == 0:
-            break
-        last = state
-        both = e.selectExpr("hi AS u", "lo AS v").union(e.selectExpr("lo AS u", "hi AS v"))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.join(m, "u").where("v > u").selectExpr("m AS lo", "v AS hi").where("lo < hi").distinct()
-        m = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        step = large.join(m, "hi")
-        e = cut(step.selectExpr("m AS lo", "lo AS hi").union(step.selectExpr("m AS lo", "hi")).where("lo < hi").distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    return e.selectExpr("hi AS node", "lo AS root").union(e.selectExpr("lo AS node", "lo AS root").distinct())

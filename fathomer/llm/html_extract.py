@@ -9,7 +9,7 @@ that is chosen to maximise the words' F1 on the labelled pages. At most ``LABELL
 (least md5 of url and page_id); every page is then scanned whole.
 
 Defined results: null or empty html gives empty text; a page without a positive region gives empty text; of equally good
-regions the earliest, shortest wins; unclosed scripts and comments run to the end; text without tags is content as a whole;
+regions the one that ends first wins, of those the shortest; unclosed scripts and comments run to the end; text without tags is content as a whole;
 without any labelled page the ``DEFAULT`` weights hold. Entities are decoded, white space within
 a block is one space, blocks are lines. Repeated rows and null page_ids give a row each; other columns are not read.
 """

@@ -1,7 +1,9 @@
 """Vectorised text kernels shared by the operators of this package.
 
-A *word* is a maximal run of ASCII letters, ASCII digits and non-ASCII bytes of the UTF-8 text,
-lower-cased for ASCII and for the two-byte letters U+00C0..U+00DE. All hashing runs on the Arrow
+A *word* is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the text, lower-cased for ASCII
+and for the two-byte letters U+00C0..U+00DE. Unicode spaces and punctuation (Latin-1, general, CJK and full-width) are gaps like ASCII
+ones, and each character of a script that is written without spaces (Han, Kana, Thai, Lao, Khmer, Burmese) is a word of its own, so that word
+n-grams there are character n-grams. All hashing runs on the Arrow
 buffer of a whole batch, so no Python object is made per word. A null text has no words.
 """
 
@@ -25,6 +27,11 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Three-byte leads of which every character is a word of its own or a gap.
+_LEAD = np.zeros(256, bool)
+_LEAD[0xE3:0xEA] = True
+_GAPS = "\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u3004\u3008-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_SOLO = "\u3005-\u3007\u3040-\u9fff\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff"
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -93,6 +100,30 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return low
 
 
+def _wide(part: np.ndarray, w: np.ndarray, first: np.ndarray) -> None:
+    """Unmark gaps beyond ASCII in w; mark in first where characters of unsegmented scripts begin and end."""
+    at = np.flatnonzero(part >= 0xC2)
+    lead = part[at]
+    two = at[lead == 0xC2]
+    nxt = part[two + 1]
+    two = two[(nxt >= 0xA0) & (nxt != 0xAA) & (nxt != 0xB5) & (nxt != 0xBA)]
+    w[two] = w[two + 1] = False
+    at = at[(lead >= 0xE0) & (lead <= 0xEF)]
+    if len(at) == 0:
+        return
+    lead, nxt, last = part[at], part[at + 1], part[at + 2]
+    gap = (lead == 0xE2) & ((nxt == 0x80) | ((nxt == 0x81) & (last <= 0xAF)))
+    gap |= (lead == 0xE3) & (nxt == 0x80) & ((last < 0x85) | (last > 0x87))
+    gap |= (lead == 0xEF) & (nxt == 0xBC) & (((last >= 0x81) & (last <= 0x8F)) | ((last >= 0x9A) & (last <= 0xA0)) | (last >= 0xBB))
+    gap |= (lead == 0xEF) & (nxt == 0xBD) & ((last == 0x80) | ((last >= 0x9B) & (last <= 0xA5)))
+    none = at[gap]
+    w[none] = w[none + 1] = w[none + 2] = False
+    solo = (_LEAD[lead] & ~gap) | ((lead == 0xE0) & (nxt >= 0xB8) & (nxt <= 0xBB))
+    solo |= (lead == 0xE1) & ((nxt <= 0x81) | ((nxt == 0x82) & (last < 0xC0)) | (nxt == 0x9E) | (nxt == 0x9F))
+    alone = at[solo]
+    first[alone] = first[alone + 3] = True
+
+
 @dataclass
 class Piece:
     """Words of one stretch of a batch: byte spans (within the stretch) and prefix sums for hashes."""
@@ -126,17 +157,18 @@ def pieces(data: np.ndarray, off: np.ndarray, most: int = PIECE_BYTES) -> Iterat
                 hi = int(off[k])
             else:
                 end = int(off[k + 1])
-                gaps = np.flatnonzero(~_WORD[data[lo:hi]])
-                if len(gaps):
-                    hi = lo + int(gaps[-1]) + 1
+                cuts = np.flatnonzero(_LEAD[data[lo + 1 : hi]] | ~_WORD[data[lo : hi - 1]])  # after a gap, before a lead
+                if len(cuts):
+                    hi = lo + int(cuts[-1]) + 1
                 else:
-                    more = np.flatnonzero(~_WORD[data[hi:end]])
+                    more = np.flatnonzero(_LEAD[data[hi:end]] | ~_WORD[data[hi:end]])
                     hi = hi + int(more[0]) if len(more) else end
         part = data[lo:hi]
         w = _WORD[part]
         first = np.zeros(len(part) + 1, bool)
         a, b = np.searchsorted(off, [lo, hi])
         first[off[a:b] - lo] = True
+        _wide(part, w, first)
         start = w.copy()
         start[1:] &= ~w[:-1] | first[1:-1]
         end_ = w.copy()
@@ -176,8 +208,8 @@ def word_list(text: str | None) -> list[bytes]:
     """The words of one text, one at a time: what ``words_of`` hashes (for tests and set-up)."""
     import re
 
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    return re.findall(rb"[0-9a-z\x80-\xff]+", lowered(data).tobytes())
+    low = lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes().decode()
+    return [w.encode() for w in re.findall(f"[{_SOLO}]|(?:[0-9a-z]|[^\x00-\x7f{_GAPS}{_SOLO}])+", low)]
 
 
 def word_hash(words: list[str]) -> np.ndarray:

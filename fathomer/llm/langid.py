@@ -2,8 +2,8 @@
 
 A GRU reads the UTF-8 bytes of a text left to right, another right to left; at every position a softmax over both
 states labels the byte, and a document's probabilities are the mean over all its positions. The network is trained in
-numpy by backpropagation through time on windows of at most ``LABELLED_ROWS`` documents with a language
-(least md5 of doc_id first; bounds the fit only). Scoring reads whole texts: they are cut into windows of
+numpy by backpropagation through time on ``WINDOWS_PER_ROW`` windows, drawn over the whole texts, of each of at most ``LABELLED_ROWS``
+documents with a language (least md5 of doc_id first; both bound the fit only). Scoring reads whole texts: they are cut into windows of
 ``WINDOW`` bytes, each read with ``CONTEXT`` more bytes on either side so that states are warm at the seams, and windows of all
 texts of a batch advance together, one byte a step.
 
@@ -14,6 +14,7 @@ order (ties go to the first); with fewer than one labelled row every lang_pred i
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ from . import frames, kernels
 
 #: The bound on the rows that the network is fitted on.
 LABELLED_ROWS = 2000
+#: Training windows that are drawn from each of them.
+WINDOWS_PER_ROW = 32
 HIDDEN = 8
 WINDOW, CONTEXT = 256, 16
 LANES = 2048
@@ -78,6 +81,11 @@ def _backward(x: np.ndarray, dstates: np.ndarray, kept: list, wh: np.ndarray, gx
         dh = dh * z + du @ wh.T
 
 
+def _rest() -> np.ndarray:
+    """Input weights of NONE: both gates shut and no candidate, so that the state beyond a text's ends is zero."""
+    return np.concatenate([np.full(2 * HIDDEN, -40, np.float32), np.zeros(HIDDEN, np.float32)])
+
+
 def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model | None:
     names = sorted(set(langs))
     texts_langs = [(t, names.index(la)) for t, la in zip(texts, langs) if t]
@@ -90,6 +98,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model | None:
     p = {}
     for d in (0, 1):
         p[f"x{d}"] = (rng.standard_normal((257, 3 * HIDDEN)) * 0.3).astype(np.float32)
+        p[f"x{d}"][NONE] = _rest()
         p[f"h{d}"] = (rng.standard_normal((HIDDEN, 3 * HIDDEN)) * 0.3).astype(np.float32)
     p["o"] = (rng.standard_normal((2 * HIDDEN + 1, len(names))) * 0.1).astype(np.float32)
     m, v = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
@@ -122,6 +131,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model | None:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
             p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        p["x0"][NONE] = p["x1"][NONE] = _rest()
     return Model(names, [p["x0"], p["x1"]], [p["h0"], p["h1"]], p["o"])
 
 
@@ -174,7 +184,7 @@ def positions(model: Model, data: np.ndarray, off: np.ndarray) -> Iterator[tuple
         longest = int(size[sel[0]])
         grid = begin[sel][None, :] + np.arange(-CONTEXT, longest + CONTEXT)[:, None]
         inside = (grid >= off[:-1][doc[sel]]) & (grid < off[1:][doc[sel]])
-        x = np.where(inside, data[np.clip(grid, 0, len(data) - 1)], NONE).astype(np.intp)
+        x = np.where(inside, data[np.clip(grid, 0, len(data) - 1)].astype(np.intp), NONE)  # NONE doesn't fit a byte
         f = _run(x, model.wx[0], model.wh[0])[CONTEXT : CONTEXT + longest]
         b = _run(x[::-1], model.wx[1], model.wh[1])[::-1][CONTEXT : CONTEXT + longest]
         labels = np.empty((longest, len(sel)), np.int8)
@@ -216,17 +226,33 @@ def label_bytes(model: Model, text: str) -> list[str]:
     return [model.langs[i] for i in out]
 
 
+def _cuttings(data: bytes, seed: int) -> list[bytes]:
+    """WINDOWS_PER_ROW stretches of TRAIN_STEPS bytes, from anywhere in a text; a shorter text is itself one."""
+    if len(data) <= TRAIN_STEPS:
+        return [data] * WINDOWS_PER_ROW
+    at = np.random.default_rng(seed).integers(0, len(data) - TRAIN_STEPS + 1, WINDOWS_PER_ROW)
+    return [data[a : a + TRAIN_STEPS] for a in at.tolist()]
+
+
 def fit(docs: DataFrame) -> Model | None:
+    """Training windows are cut from whole texts where these lie; only the windows come to the driver."""
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     known = docs.where("doc_id is not null and lang is not null and text is not null")
     picked = frames.written(known.select("doc_id", key.alias("k")).orderBy("k", "doc_id").limit(LABELLED_ROWS), "labelled-docs")
-    cut = 8192  # training windows are drawn from at most so many bytes around a fixed place of a text
     rows = known.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id")  # LABELLED_ROWS ids at most
-    whole = F.length("text")
-    start = (F.pmod(F.xxhash64("doc_id"), F.greatest(whole - F.lit(cut), F.lit(0)) + 1) + 1).cast("int")
-    got = rows.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(cut)).alias("text")).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"].encode() for r in got], [r["lang"] for r in got])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in kernels.slices(batch, "text"):
+                data, off = kernels.buffers(b.column(2))
+                ids = b.column(0).to_pylist()
+                cut = [_cuttings(data[x:y].tobytes(), zlib.crc32(str(i).encode())) for i, x, y in zip(ids, off[:-1].tolist(), off[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.binary()))], ["doc_id", "lang", "cut"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    got = rows.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, cut array<binary>").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["cut"]))
+    return train([w for r in got for w in r["cut"]], [r["lang"] for r in got for _ in r["cut"]])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

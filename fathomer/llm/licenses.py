@@ -3,8 +3,8 @@
 Templates (licence notices and texts) are indexed by word: postings of (template, position). Document frequencies of all
 template words are counted over all documents; a template's ``ANCHORS`` highest-IDF words are its anchors, and
 a file's highest-IDF licence words are those at least as rare as the least rare anchor of any template. Their postings are
-intersected by relative position: occurrences whose document position minus template position agrees within
-``SLACK`` form an alignment. An alignment that holds ``LEAST_SHARE`` of a template's anchor IDF is a candidate, and it
+intersected by relative position: occurrences whose document position minus template position lies within
+``SLACK`` of the first one's form an alignment. An alignment that holds ``LEAST_SHARE`` of a template's anchor IDF is a candidate, and it
 counts only if every mandatory key phrase of the template occurs, word for word, within the aligned stretch (widened by SLACK words).
 
 Of overlapping finds of one licence in a document, the one with the highest coverage is kept (ties: the earliest, then the template listed first).
@@ -81,6 +81,7 @@ class Index:
     template: np.ndarray
     pos: np.ndarray
     rare: np.ndarray  # vocabulary index -> looked up in files
+    weight: np.ndarray  # (template, vocabulary index): the share of a template's anchor IDF
 
     def share(self, t: int, found: np.ndarray) -> float:
         a = self.anchors[t]
@@ -109,7 +110,10 @@ def build(n_docs: int, df: np.ndarray, templates=TEMPLATES) -> Index:
     template = np.repeat(np.arange(len(words)), [len(w) for w in words])[order]
     pos = np.concatenate([np.arange(len(w)) for w in words])[order]
     floor = min(idf[a].min() for a in anchors)
-    return Index(vocab, idf, words, phrases, anchors, np.searchsorted(flat[order], np.arange(len(vocab) + 1)), template, pos, idf >= floor)
+    weight = np.zeros((len(words), len(vocab)))
+    for t, a in enumerate(anchors):
+        weight[t, a] = idf[a] / max(idf[a].sum(), 1e-12)
+    return Index(vocab, idf, words, phrases, anchors, np.searchsorted(flat[order], np.arange(len(vocab) + 1)), template, pos, idf >= floor, weight)
 
 
 def in_vocab(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
@@ -149,18 +153,20 @@ def finds(w: kernels.Words, index: Index, templates=TEMPLATES) -> list[tuple[int
     d = doc[of]
     order = np.lexsort((diag, template, d))
     d, template, diag, word = d[order], template[order], diag[order], word[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (template[1:] != template[:-1]) | (diag[1:] - diag[:-1] > SLACK)
-    start = np.flatnonzero(new)
+    # Alignments: the occurrences within SLACK of each relative position that occurs, if their weights can reach the least share.
+    group = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (template[1:] != template[:-1]))])
+    place = group * (int(diag.max() - diag.min()) + SLACK + 2) + diag - diag.min()
+    begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    after = np.searchsorted(place, place[begin] + SLACK, "right")
+    sums = np.concatenate([[0.0], np.cumsum(index.weight[template, word])])
+    ok = sums[after] - sums[begin] >= LEAST_SHARE - 1e-9
     got = []
-    for a, b in zip(start, np.append(start[1:], len(d))):
+    for a, b in zip(begin[ok], after[ok]):
         t = int(template[a])
-        if index.share(t, word[a:b]) < LEAST_SHARE:
+        if index.share(t, word[a:b]) < LEAST_SHARE - 1e-12:
             continue
         lo, hi = w.bounds[d[a]], w.bounds[d[a] + 1]
-        begin = max(lo, diag[a] - SLACK)
-        end = min(hi, diag[b - 1] + len(index.words[t]) + SLACK)
-        stretch = w.hashes[begin:end]
+        stretch = w.hashes[max(lo, diag[a] - SLACK) : min(hi, diag[b - 1] + len(index.words[t]) + SLACK)]
         if not all(_holds(stretch, p) for p in index.phrases[t]):
             continue
         u = np.unique(index.words[t])

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from . import frames, kernels
 
 SHINGLE, PERMS, BANDS, ROWS, BITS = 3, 128, 32, 4, 2
@@ -171,7 +172,7 @@ def _decide(docs: DataFrame, threshold: float, doc_id: str, text: str) -> tuple[
     same = frames.written(same, "minhash-distinct")
     near = edges(same.selectExpr("root AS id", "sig", "keys"), threshold)
     copies = sigs.select("id", "whole").join(same.where("n > 1").select("whole", "root"), "whole").where("id <> root").selectExpr("root AS a", "id AS b")
-    return sigs, frames.components(near.union(copies))
+    return sigs, components(near.union(copies))
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,41 +1,47 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted in tokens by cell (source, language, topic). Raking scales the cells' weights until
-their sums by source, by language and by topic meet the targets; each document is then kept with the
-probability c * raked / actual of its cell, with c set so that the expected number of tokens is ``fraction`` of all, or
-as near to it as the targets allow: no probability may exceed 1, so c is at most actual / raked of every cell, and then the
-kept tokens meet the targets and are fewer than ``fraction``. With ``clip`` the probabilities are cut at 1 instead: the number of
-tokens is met and the targets are missed; ``sample`` does so, as its SQL does. The draw is a fixed function of doc_id (md5), so it is repeatable
-and needs no shuffle of texts.
+their sums by source, by language and by topic meet the targets: it ends when a sweep over the margins changes no share by more than
+``SETTLED`` (or after ``MOST_SWEEPS``), with a warning that names the largest miss if the targets contradict each other. Each document is then kept with the
+probability c * raked / actual of its cell, where c = min(fraction, the largest value at which no probability exceeds 1): the
+expected margins of the kept tokens are the raked ones exactly, and where a rare cell is to grow much, fewer tokens than
+``fraction`` are kept. The draw is a fixed function of doc_id (md5), so it is repeatable and needs no shuffle of texts.
 
 Targets: a share for each value of a margin; values without one share the rest in proportion to
-actual_share ** power (temperature smoothing). Topics are the labels of ``embeddings`` by vec_id = doc_id; documents
+actual_share ** power of the margin (temperature smoothing, which shrinks hot values). Topics are the labels of ``embeddings`` by vec_id = doc_id; documents
 without one have topic -1.
 
 Defined results: a null or empty text has 0 tokens and is kept if its cell keeps anything at all (its draw is the
 same as any); a null source or language is the value '' of its margin; a null doc_id draws as the
 key 'null'; repeated rows of one doc_id are drawn alike; several labels of one doc_id count as the least. Cells
 whose tokens are 0 have probability 0 for documents with tokens (there are none) and 1 for empty ones. Extra columns pass through.
+Probabilities are rounded to nine digits before the draw.
 
 The fit is a function of cells only. They come to the driver if there are at most ``DRIVER_CELLS``; beyond that the
-same sweeps run as Spark aggregations over a written table.
+same sweeps run as Spark aggregations over a written table, with the same probabilities.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frames
 
-SWEEPS = 30
-HALVINGS = 60
+SETTLED = 1e-13
+#: A larger miss of a target is told in a warning.
+MISS = 1e-6
+MOST_SWEEPS = 500
+#: Sweeps of the SQL version, which has no test of convergence.
+SQL_SWEEPS = 40
 DRIVER_CELLS = 1_000_000
 FRACTION = 0.8
-POWER = 0.9
+POWER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 #: Target shares by margin; values that aren't named share the rest.
-TARGETS: dict[str, dict[str, float]] = {"source": {}, "lang": {"en": 0.58}, "topic": {}}
+TARGETS: dict[str, dict[str, float]] = {"source": {}, "lang": {"en": 0.58, "de": 0.16}, "topic": {}}
 MARGINS = ("source", "lang", "topic")
 
 
@@ -47,39 +53,41 @@ def _targets(margin: str, values: np.ndarray, actual: np.ndarray) -> np.ndarray:
     named = TARGETS[margin]
     share = actual / max(actual.sum(), 1)
     given = np.array([named.get(str(v), -1.0) for v in values])
-    smooth = np.where(given < 0, np.where(share > 0, share, 1.0) ** POWER * (share > 0), 0.0)
+    smooth = np.where(given < 0, np.where(share > 0, share, 1.0) ** POWER[margin] * (share > 0), 0.0)
     rest = 1 - given[given >= 0].sum()
     out = np.where(given >= 0, given, rest * smooth / max(smooth.sum(), 1e-300)) * (share > 0)
     return out / max(out.sum(), 1e-300)
 
 
-def rake(codes: list[np.ndarray], weight: np.ndarray, targets: list[np.ndarray], sweeps: int | None = None) -> np.ndarray:
+def rake(codes: list[np.ndarray], weight: np.ndarray, targets: list[np.ndarray], most: int | None = None) -> np.ndarray:
     """Raked shares of the cells: codes[m] is each cell's value of margin m."""
     x = weight / max(weight.sum(), 1e-300)
-    for _ in range(SWEEPS if sweeps is None else sweeps):
+    for _ in range(MOST_SWEEPS if most is None else most):
+        was = x
         for code, t in zip(codes, targets):
             s = np.bincount(code, x, len(t))
             x = x * (t / np.where(s > 0, s, 1.0))[code]
+        if np.abs(x - was).max(initial=0.0) <= SETTLED:
+            break
+    miss = max((float(np.abs(np.bincount(c, x, len(t)) - t).max(initial=0.0)) for c, t in zip(codes, targets)), default=0.0)
+    _tell(miss)
     return x
 
 
-def scale(ratio: np.ndarray, weight: np.ndarray, fraction: float) -> float:
-    """c such that sum(weight * min(1, c * ratio)) = fraction * sum(weight)."""
-    order = np.argsort(-ratio, kind="stable")
-    r, w = ratio[order], weight[order]
-    goal, full = fraction * w.sum(), 0.0
-    tail = np.cumsum((w * r)[::-1])[::-1]
-    for i in range(len(r)):
-        if tail[i] <= 0:
-            break
-        c = (goal - full) / tail[i]
-        if c * r[i] <= 1:
-            return float(c)
-        full += w[i]
-    return float(1 / r[r > 0].min()) if (r > 0).any() else 1.0
+def _tell(miss: float) -> None:
+    if miss > MISS:
+        warnings.warn(f"the targets can't all be met; the largest miss of a target is {miss:.3g}", stacklevel=3)
+
+
+def _probability(ratio: Column, c: float) -> Column:
+    return F.round(F.least(F.lit(1.0), F.lit(c) * ratio), 9)
 
 
-def _on_driver(cells: DataFrame, fraction: float, clip: bool) -> DataFrame:
+def _scale(fraction: float, most: float | None) -> float:
+    return min(fraction, 1 / most) if most else fraction
+
+
+def _on_driver(cells: DataFrame, fraction: float) -> DataFrame:
     import pandas as pd
 
     pdf = cells.toPandas().sort_values(list(MARGINS), ignore_index=True)
@@ -89,17 +97,14 @@ def _on_driver(cells: DataFrame, fraction: float, clip: bool) -> DataFrame:
         values, code = np.unique(pdf[m].to_numpy(), return_inverse=True)
         codes.append(code)
         targets.append(_targets(m, values, np.bincount(code, w, len(values))))
-    x = rake(codes, w, targets)
-    ratio = np.where(w > 0, x * w.sum() / np.where(w > 0, w, 1), 0.0)
-    c = scale(ratio, w, fraction)
-    if not clip and (ratio > 0).any():
-        c = min(c, float(1 / ratio.max()))
-    p = np.where(w > 0, np.minimum(1.0, c * ratio), 1.0)
-    out = pd.DataFrame({**{m: pdf[m] for m in MARGINS}, "p": p})
-    return cells.sparkSession.createDataFrame(out, "source string, lang string, topic int, p double")
+    ratio = np.where(w > 0, rake(codes, w, targets) * w.sum() / np.where(w > 0, w, 1), 0.0)
+    out = pd.DataFrame({**{m: pdf[m] for m in MARGINS}, "weight": w, "ratio": ratio})
+    back = cells.sparkSession.createDataFrame(out, "source string, lang string, topic int, weight double, ratio double")
+    p = F.when(F.col("weight") > 0, _probability(F.col("ratio"), _scale(fraction, float(ratio.max(initial=0.0))))).otherwise(1.0)
+    return back.select(*MARGINS, p.alias("p"))
 
 
-def _on_cluster(cells: DataFrame, fraction: float, clip: bool) -> DataFrame:
+def _on_cluster(cells: DataFrame, fraction: float) -> DataFrame:
     """The same sweeps where the cells are too many for the driver."""
     total = cells.agg(F.sum("weight")).first()[0] or 0
     x = cells.where("weight > 0").withColumn("x", F.col("weight") / F.lit(float(max(total, 1))))
@@ -108,26 +113,23 @@ def _on_cluster(cells: DataFrame, fraction: float, clip: bool) -> DataFrame:
         share = x.groupBy(m).agg(F.sum("x").alias("share"))
         names = TARGETS[m]
         given = F.coalesce(*[F.when(F.col(m).cast("string") == k, F.lit(v)) for k, v in names.items()], F.lit(-1.0))
-        t = share.withColumn("g", given).withColumn("s", F.when(F.col("g") < 0, F.pow("share", F.lit(POWER))).otherwise(0.0))
+        t = share.withColumn("g", given).withColumn("s", F.when(F.col("g") < 0, F.pow("share", F.lit(POWER[m]))).otherwise(0.0))
         sums = t.agg(F.sum("s").alias("all_s"), F.sum(F.when(F.col("g") >= 0, F.col("g")).otherwise(0.0)).alias("all_g"))
         t = t.crossJoin(F.broadcast(sums)).withColumn("t", F.when(F.col("g") >= 0, F.col("g")).otherwise((1 - F.col("all_g")) * F.col("s") / F.greatest("all_s", F.lit(1e-300))))
         norm = F.broadcast(t.agg(F.sum("t").alias("all_t")))
         targets[m] = frames.cut(t.crossJoin(norm).select(m, (F.col("t") / F.col("all_t")).alias("t")))
-    for k in range(SWEEPS):
+    for _ in range(MOST_SWEEPS):
+        x = x.withColumn("was", F.col("x"))
         for m in MARGINS:
             s = x.groupBy(m).agg(F.sum("x").alias("sx")).join(targets[m], m).select(m, (F.col("t") / F.col("sx")).alias("f"))
             x = x.join(s, m).withColumn("x", F.col("x") * F.col("f")).drop("f")
         x = frames.cut(x)
-    x = frames.cut(x.withColumn("ratio", F.col("x") * F.lit(float(total)) / F.col("weight")))
-    least, most = x.agg(F.min("ratio"), F.max("ratio")).first()
-    lo, hi = 0.0, float(1 / max(least or 1.0, 1e-300))
-    for _ in range(HALVINGS):
-        c = (lo + hi) / 2
-        got = x.agg(F.sum(F.col("weight") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio")))).first()[0] or 0.0
-        lo, hi = (c, hi) if got < fraction * total else (lo, c)
-    if not clip:
-        hi = min(hi, 1 / (most or 1.0))
-    kept = x.select(*MARGINS, F.least(F.lit(1.0), F.lit(hi) * F.col("ratio")).alias("p"))
+        if (x.agg(F.max(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0) <= SETTLED:
+            break
+    _tell(max((x.groupBy(m).agg(F.sum("x").alias("sx")).join(targets[m], m).agg(F.max(F.abs(F.col("sx") - F.col("t")))).first()[0] or 0.0 for m in MARGINS)))
+    x = x.withColumn("ratio", F.col("x") * F.lit(float(total)) / F.col("weight"))
+    c = _scale(fraction, x.agg(F.max("ratio")).first()[0])
+    kept = x.select(*MARGINS, _probability(F.col("ratio"), c).alias("p"))
     return kept.union(cells.where("weight <= 0").select(*MARGINS, F.lit(1.0)))
 
 
@@ -139,25 +141,24 @@ def _keyed(docs: DataFrame, topics: DataFrame) -> DataFrame:
     return keyed.withColumns({"_fx_source": F.coalesce("source", F.lit("")), "_fx_lang": F.coalesce("lang", F.lit("")), "_fx_topic": F.coalesce("_fx_label", F.lit(-1))})
 
 
-def probabilities(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION, driver_cells: int = DRIVER_CELLS, clip: bool = False) -> DataFrame:
+def probabilities(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(source, lang, topic, p) of every cell."""
     narrow = docs.select("doc_id", "source", "lang", tokens(F.col("text")).alias("_fx_tokens"))
     cells = _keyed(narrow, topics).groupBy(*[F.col(f"_fx_{m}").alias(m) for m in MARGINS]).agg(F.sum("_fx_tokens").alias("weight"))
     cells = frames.written(cells, "cells")
-    return _on_driver(cells, fraction, clip) if cells.count() <= driver_cells else _on_cluster(cells, fraction, clip)
+    return _on_driver(cells, fraction) if cells.count() <= driver_cells else _on_cluster(cells, fraction)
 
 
-def _drawn(docs: DataFrame, topics: DataFrame, fraction: float, clip: bool = False) -> DataFrame:
-    p = frames.written(probabilities(docs, topics, fraction, clip=clip), "mix").select(*[F.col(m).alias(f"_fx_{m}") for m in MARGINS], F.col("p").alias("_fx_p"))
+def _drawn(docs: DataFrame, topics: DataFrame, fraction: float) -> DataFrame:
+    p = frames.written(probabilities(docs, topics, fraction), "mix").select(*[F.col(m).alias(f"_fx_{m}") for m in MARGINS], F.col("p").alias("_fx_p"))
     keyed = _keyed(docs, topics).join(frames.small(p, 64), [f"_fx_{m}" for m in MARGINS])
     return keyed.where(frames.uniform(F.col("doc_id")) < F.col("_fx_p"))
 
 
 def sample(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """The drawn documents, clipped as the SQL is: doc_id, source, lang, topic, n_tokens, p."""
-    narrow = docs.select("doc_id", "source", "lang", "text")
-    out = _drawn(narrow, topics, fraction, clip=True)
-    return out.select("doc_id", "source", "lang", F.col("_fx_topic").alias("topic"), tokens(F.col("text")).alias("n_tokens"), F.round("_fx_p", 9).alias("p"))
+    """The drawn documents: doc_id, source, lang, topic, n_tokens, p."""
+    out = _drawn(docs.select("doc_id", "source", "lang", "text"), topics, fraction)
+    return out.select("doc_id", "source", "lang", F.col("_fx_topic").alias("topic"), tokens(F.col("text")).alias("n_tokens"), F.col("_fx_p").alias("p"))
 
 
 @frames.shielded
@@ -166,17 +167,13 @@ def mix(docs: DataFrame, topics: DataFrame, fraction: float = FRACTION) -> DataF
     return _drawn(docs, topics, fraction).select(*docs.columns)
 
 
-_SHARE = ", ".join(f"sum(w) OVER (PARTITION BY {m}) / sum(w) OVER () AS s_{m}" for m in MARGINS)
-
-
 def _target_sql(m: str) -> str:
     given = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TARGETS[m].items())
     named = f"CASE CAST({m} AS VARCHAR) {given} ELSE -1.0 END" if given else "-1.0"
-    total = sum(TARGETS[m].values())
     return f"""
     g_{m} AS (SELECT {m}, sum(w) / (SELECT sum(w) FROM cells) AS s, {named}::DOUBLE AS g FROM cells GROUP BY {m}),
     h_{m} AS (SELECT {m}, CASE WHEN g >= 0 THEN g ELSE
-        (1 - (SELECT coalesce(sum(g), 0) FROM g_{m} WHERE g >= 0)) * pow(s, {POWER}) / (SELECT sum(pow(s, {POWER})) FROM g_{m} WHERE g < 0) END AS t FROM g_{m} WHERE s > 0),
+        (1 - (SELECT coalesce(sum(g), 0) FROM g_{m} WHERE g >= 0)) * pow(s, {POWER[m]}) / (SELECT sum(pow(s, {POWER[m]})) FROM g_{m} WHERE g < 0) END AS t FROM g_{m} WHERE s > 0),
     t_{m} AS (SELECT {m}, t / (SELECT sum(t) FROM h_{m}) AS t FROM h_{m})"""
 
 
@@ -193,13 +190,11 @@ sweep AS (
     UNION ALL
     SELECT k + 1, source, lang, topic, w, x2 * tt / sum(x2) OVER (PARTITION BY topic), ts, tl, tt FROM (
         SELECT *, x1 * tl / sum(x1) OVER (PARTITION BY lang) AS x2 FROM (
-            SELECT *, x * ts / sum(x) OVER (PARTITION BY source) AS x1 FROM sweep WHERE k < {SWEEPS}))),
-fitted AS (SELECT source, lang, topic, w, x * (SELECT sum(w) FROM cells) / w AS ratio FROM sweep WHERE k = {SWEEPS}),
-ranked AS (SELECT *, coalesce(sum(w) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
-    sum(w * ratio) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM fitted),
-c AS (SELECT c FROM (SELECT ({FRACTION} * (SELECT sum(w) FROM cells) - above) / tail AS c, ratio, above FROM ranked) WHERE c * ratio <= 1 ORDER BY above LIMIT 1),
-prob AS (SELECT source, lang, topic, least(1.0, (SELECT c FROM c) * ratio) AS p FROM fitted
+            SELECT *, x * ts / sum(x) OVER (PARTITION BY source) AS x1 FROM sweep WHERE k < {SQL_SWEEPS}))),
+fitted AS (SELECT source, lang, topic, w, x * (SELECT sum(w) FROM cells) / w AS ratio FROM sweep WHERE k = {SQL_SWEEPS}),
+c AS (SELECT least({FRACTION}, 1 / max(ratio)) AS c FROM fitted),
+prob AS (SELECT source, lang, topic, round(least(1.0, (SELECT c FROM c) * ratio), 9) AS p FROM fitted
     UNION ALL SELECT source, lang, topic, 1.0 FROM cells WHERE w <= 0)
-SELECT doc_id, raw_source AS source, raw_lang AS lang, topic, n_tokens, round(p, 9) AS p FROM doc JOIN prob USING (source, lang, topic)
+SELECT doc_id, raw_source AS source, raw_lang AS lang, topic, n_tokens, p FROM doc JOIN prob USING (source, lang, topic)
 WHERE ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < p
 """

@@ -41,6 +41,9 @@ def test_line_dedup(awkward, nothing):
     cleaned = {r.doc_id: r.text for r in line_dedup.without_lines(awkward.where("doc_id < 10"), line_dedup.removed_lines(awkward)).collect()}
     assert cleaned[2] == "" and cleaned[1].startswith("The quick") and cleaned[6] is None
     assert rows(line_dedup.removed_lines(nothing)) == []
+    clash = awkward.where("doc_id < 10").selectExpr("*", "7 AS _fx_id", "array(1) AS _fx_lines", "'s' AS _shield0")
+    cleaned = line_dedup.without_lines(clash, line_dedup.removed_lines(clash))
+    assert cleaned.columns == clash.columns and {r._fx_id for r in cleaned.collect()} == {7} and {r.doc_id: r.text for r in cleaned.collect()}[2] == ""
 
 
 def test_mixing(spark, awkward, nothing):
@@ -50,6 +53,8 @@ def test_mixing(spark, awkward, nothing):
     assert {(r.source, r.lang, r.topic) for r in p.collect()} >= {("", "", -1), ("s1", "en", 2)}
     kept = mixing.mix(awkward, topics)
     assert kept.columns == awkward.columns and kept.count() <= awkward.count()
+    twice = mixing.mix(awkward.union(awkward), topics)
+    assert all(r["count"] % 2 == 0 for r in twice.groupBy("doc_id", "text").count().collect())  # null and repeated ids are drawn alike
     assert mixing.mix(nothing, topics).count() == 0 and mixing.mix(awkward, topics.limit(0)).columns == awkward.columns
 
 
