@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing and packing of the documents table.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. ``run`` writes what a stage returns as Parquet in
-the shared folder and gives the reread table to the next one, so a lost executor costs one stage's work at most.
+the shared folder, deletes what the stage wrote on its way, and gives the reread table to the next one, so a lost executor costs one stage's work at most.
 Every stage but the last returns the columns of documents. How a stage treats nulls, empty and long texts, ties,
 repeated rows, empty tables and extra columns is defined in its operator's module.
 """
@@ -41,12 +41,12 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-#: The first stage is a trained model, which SQL can't express; tests hold run() against brute force.
+#: The first stage is a trained model, which SQL can't express; a test holds run() against a brute-force version of the five stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = frames.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = frames.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = frames.kept(spark, lambda d=docs, f=stage: f(spark, d, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
