@@ -320,18 +320,20 @@ def test_toxicity_on_held_out_documents(spark):
     assert len(chain.weights) == len(toxicity.CATEGORIES) and len(chain.weights[2]) == len(chain.weights[0]) + 2
 
 
-def hashed(word: bytes, kind: int) -> int:
-    """A feature as a single number, word by word."""
-    h = int(kernel_hash(word)) if kind == 0 else int(kernels.Piece(0, np.array([0]), np.array([len(word)]), np.concatenate([[0], np.cumsum((np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)) * kernels._pow(kernels._BASE, len(word)), dtype=np.uint64)]).astype(np.uint64)).words()[0])
-    return int(kernels.mix64(np.array([h + kind], np.uint64))[0]) & ((1 << toxicity.HASH_BITS) - 1)
+@functools.lru_cache(maxsize=None)
+def feature(part: bytes, kind: int) -> int:
+    """The feature of a word or of one of its ends, byte by byte."""
+    h = sum((x + 1) * pow(kernels._BASE, i, 1 << 64) for i, x in enumerate(part)) % (1 << 64)
+    inner = int(kernels.mix64(np.array([h], np.uint64))[0])
+    return int(kernels.mix64(np.array([(inner + kind) % (1 << 64)], np.uint64))[0]) & ((1 << toxicity.HASH_BITS) - 1)
 
 
 def chain_scores(text: str | None, chain: toxicity.Chain) -> list[float]:
     """The chain's probabilities of one text, link by link over its words."""
     found = set()
     for w in kernels.word_list(text):
-        found.add(hashed(w, 0))
-        found |= {hashed(w[:k], k) for k in (4, 5, 6) if len(w) > k} | {hashed(w[-k:], 10 + k) for k in (4, 5) if len(w) > k}
+        found.add(feature(w, 0))
+        found |= {feature(w[:k], k) for k in (4, 5, 6) if len(w) > k} | {feature(w[-k:], 10 + k) for k in (4, 5) if len(w) > k}
     on = sorted({int(chain.table[f]) for f in found} - {-1})
     k, out = int(chain.table.max()) + 1, []
     for w in chain.weights:
@@ -558,7 +560,8 @@ def test_pipeline_against_brute_force(spark, sf, docs, duck, same_rows):
     cells = sorted({c for c in cell.values()})
     weight = np.array([float(sum(n[i] for i, c in cell.items() if c == x)) for x in cells])
     share = weight / weight.sum()
-    for _ in range(200):
+    for _ in range(mixing.MOST_SWEEPS):
+        was = share
         for m, name in enumerate(mixing.MARGINS):
             actual, goal = {}, {}
             for c, w in zip(cells, weight):
@@ -571,6 +574,8 @@ def test_pipeline_against_brute_force(spark, sf, docs, duck, same_rows):
             for c, x in zip(cells, share):
                 now[c[m]] = now.get(c[m], 0.0) + x
             share = np.array([x * goal[c[m]] / sum(goal.values()) / now[c[m]] for c, x in zip(cells, share)])
+        if np.abs(share - was).max() <= mixing.SETTLED:
+            break
     ratio = share * weight.sum() / weight
     p = dict(zip(cells, np.round(np.minimum(1, min(mixing.FRACTION, 1 / ratio.max()) * ratio), 9)))
     rows = [r for r in rows if int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) / 2**52 < p[cell[r.doc_id]]]
