@@ -1,4 +1,4 @@
-"""Exact vector search: blocks of queries against blocks of rows, each product one matrix multiplication."""
+"""Exact vector search on a grid of blocks: each product of two blocks is one matrix multiplication in a task of its own."""
 
 from __future__ import annotations
 
@@ -9,58 +9,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block; a task holds two blocks at a time, whatever the tables.
+BLOCK_ROWS = 4096
+TILE = 512
 
-def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(ids, vectors) of Arrow batches, normalised; rows without a vector are left out."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            sizes = np.diff(b.column(1).offsets.to_numpy())
-            for dim in np.unique(sizes):
-                part = b.filter(pa.array(sizes == dim))
-                v = np.asarray(part.column(1).flatten(), np.float64).reshape(-1, dim)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                v = v / np.where(n > 0, n, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([np.asarray(part.column(0), np.int64).tobytes()]), pa.array([v.tobytes()])], ["dim", "ids", "vectors"])
+def _blocks(df: DataFrame, key: str, vector: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(by, dim, block, ids, vectors) with about BLOCK_ROWS rows each, and (by, dim, blocks). Rows without a vector are left out."""
+    rows = df.select(*by, F.col(key).cast("bigint").alias("_k"), F.col(vector).cast("array<double>").alias("_v")).where("_k is not null and size(_v) > 0").withColumn("dim", F.size("_v"))
+    sizes = rows.groupBy(*by, "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(sizes if by else F.broadcast(sizes), [*by, "dim"])  # without groups, a row per vector length
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("_k"), F.col("blocks")).cast("int"))
+    packed = dealt.groupBy(*by, "dim", "block").agg(F.collect_list(F.struct("_k", "_v")).alias("_r"))
+    return packed.select(*by, "dim", "block", F.col("_r._k").alias("ids"), F.flatten("_r._v").alias("vectors")), sizes
 
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and size(v) > 0")
-    return rows.mapInArrow(pack, "dim int, ids binary, vectors binary")
 
+def _unit(values: pa.Scalar, dim: int) -> np.ndarray:
+    v = values.values.to_numpy().reshape(-1, dim)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n > 0, n, 1)
 
-def _products(a: DataFrame, b: DataFrame, pick) -> DataFrame:
-    """Rows (query_id, row_id, score) that pick(scores, query ids, row ids) chooses of each pair of blocks."""
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, qi, qv, ri, rv in zip(*(c.to_pylist() for c in batch.columns)):
-                q, r = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
-                base = np.frombuffer(rv).reshape(-1, dim)
-                for at in range(0, len(q), 1000):
-                    s = np.round(np.frombuffer(qv).reshape(-1, dim)[at : at + 1000] @ base.T, 12) + 0.0
-                    i, j = pick(s, q[at : at + 1000], r)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[at + i]), pa.array(r[j]), pa.array(s[i, j])], ["query_id", "row_id", "score"])
+def _meet(a: DataFrame, b: DataFrame, sizes: DataFrame, by: tuple[str, ...], ordered: bool) -> DataFrame:
+    """Every block of a with every block of b: the join key is b's block, so no key is hot. ordered: only blocks of a up to b's."""
+    keys = [*by, "dim"]
+    left = a.withColumnsRenamed({"block": "qb", "ids": "qi", "vectors": "qv"}).join(sizes if by else F.broadcast(sizes), keys)
+    first = F.col("qb") if ordered else F.lit(0)
+    left = left.withColumn("block", F.explode(F.sequence(first, F.col("blocks") - 1))).drop("blocks")
+    return left.join(b, [*keys, "block"]).select("dim", "qb", "block", "qi", "qv", "ids", "vectors")
 
-    left = a.select(F.col("dim").alias("d"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
-    return left.join(b, F.col("d") == F.col("dim")).select("d", "qi", "qv", "ids", "vectors").mapInArrow(multiply, "query_id bigint, row_id bigint, score double")
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(same block, query ids, row ids, cosines) of tiles of queries."""
+    for b in batches:
+        for i in range(b.num_rows):
+            dim, qb, rb = (b.column(c)[i].as_py() for c in range(3))
+            q, r = b.column(3)[i].values.to_numpy(), b.column(5)[i].values.to_numpy()
+            v, base = _unit(b.column(4)[i], dim), _unit(b.column(6)[i], dim)
+            for at in range(0, len(q), TILE):
+                yield qb == rb, q[at : at + TILE], r, np.round(v[at : at + TILE] @ base.T, 12) + 0.0
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, row_id, score, rank): the k nearest rows of each query (query_id, query_vector), ties by id."""
 
-    def pick(s: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(r, kind="stable")
-        best = np.argsort(-np.round(s[:, order], 9), axis=1, kind="stable")[:, :k]
-        return np.repeat(np.arange(len(q)), best.shape[1]), order[best].reshape(-1)
-
-    found = _products(_blocks(queries, "query_id", "query_vector"), _blocks(base, key, vector), pick)
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, q, r, s in _tiles(batches):
+            near = np.round(s, 9)
+            m = min(k, len(r))
+            i, j = np.nonzero(near >= np.partition(near, len(r) - m, axis=1)[:, -m, None])
+            o = np.lexsort((r[j], -near[i, j], i))
+            i, j = i[o], j[o]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[rank < k], j[rank < k]
+            yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(r[j]), pa.array(s[i, j])], ["query_id", "row_id", "score"])
+
+    rows, sizes = _blocks(base, key, vector)
+    met = _meet(_blocks(queries, "query_id", "query_vector")[0], rows, sizes, (), False)
+    found = met.mapInArrow(best, "query_id bigint, row_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "row_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def pairs_above(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(i, j, sim) of all pairs i < j with cosine >= threshold."""
-    b = _blocks(vectors, key, vector)
-    found = _products(b, b, lambda s, q, r: np.nonzero((s >= threshold) & (q[:, None] < r[None, :])))
-    return found.select(F.col("query_id").alias("i"), F.col("row_id").alias("j"), F.col("score").alias("sim"))
+def pairs_above(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", by: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, sim) of all pairs i < j (of one group, with ``by``) with cosine >= threshold."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for same, q, r, s in _tiles(batches):
+            i, j = np.nonzero((s >= threshold) & ((q[:, None] < r) if same else (q[:, None] != r)))
+            a, b = np.minimum(q[i], r[j]), np.maximum(q[i], r[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s[i, j])], ["i", "j", "sim"])
+
+    rows, sizes = _blocks(vectors, key, vector, by)
+    return _meet(rows, rows, sizes, by, True).mapInArrow(close, "i bigint, j bigint, sim double")

@@ -12,7 +12,7 @@ from ..ids import stable_id
 from ..operators import chunk, embed, evaluate, extract, fusion, graph, lexical, refine, rerank, resolve, vector
 from ..session import ship
 from ..streaming import events, incremental
-from . import search
+from . import ingest, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,10 +74,11 @@ def target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.totals(_chunks(spark, sf_dir), "source")
 
 
-@query(f"WITH {_CHUNKS} SELECT doc_id, ordinal, start_offset, end_offset, trim(substr(text, 1, 100)) AS snippet FROM chunks WHERE source = 'src1'")
+@query(f"WITH {_CHUNKS} SELECT source AS file_path, doc_id * 100000 + ordinal AS chunk_id, start_offset, end_offset, trim(substr(text, 1, 100)) AS snippet FROM chunks")
 def file_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir).where("source = 'src1'")
-    return c.select("doc_id", "ordinal", "start_offset", "end_offset", F.trim(F.substring("text", 1, 100)).alias("snippet"))
+    """The lineage of every source."""
+    c = _chunks(spark, sf_dir).withColumnRenamed("source", "file_path").withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("ordinal"))
+    return search.lineage(c)
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, string_agg(' ' || text, '' ORDER BY start_offset) AS text FROM chunks GROUP BY doc_id")
@@ -178,11 +179,9 @@ def _vector_sql(k: int, where: str = "true") -> str:
         row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE {where} QUALIFY rank <= {k}"""
 
 
-@query(f"SELECT query_id, row_id, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM ({_vector_sql(10, 'q.vec_id = 0')})")
+@query(f"SELECT query_id, row_id, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM ({_vector_sql(10)})")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return vector.top_k(q, e, 10).withColumn("score", F.round("score", 6))
+    return _vector_lists(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT query_id, row_id, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM ({_vector_sql(5)})")
@@ -195,6 +194,8 @@ def _vector_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return vector.top_k(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e, k)
 
 
+#: Ranked lists of the SQL twins reach as deep as the deepest that is fused: four times its limit.
+DEPTH = 120
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _BM25 = f"""dt AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
     stat AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avgdl FROM dt),
@@ -203,12 +204,11 @@ _BM25 = f"""dt AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
     qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS token FROM benchmark),
     bm AS (SELECT query_id, doc_id AS row_id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * {lexical.K1 + 1} / (tf + {lexical.K1} * ({1 - lexical.B} + {lexical.B} * dl / avgdl))) AS score
         FROM qt JOIN tf USING (token) JOIN df USING (token), stat GROUP BY ALL),
-    lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM bm QUALIFY rank <= 20)"""
+    lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) AS rank FROM bm QUALIFY rank <= {DEPTH})"""
 
 
-def _lexical_lists(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    scored = lexical.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), "doc_id")
-    return lexical.top(scored, k)
+def _lexical_lists(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return lexical.bm25_top(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), "doc_id", k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, row_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lex WHERE rank <= 10")
@@ -268,8 +268,12 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # fusion
 
-_VEC = f"vec AS ({_vector_sql(20, 'q.vec_id IN (SELECT item_id FROM benchmark)')})"
-_LISTS = f"WITH {_BM25}, {_VEC}, lists AS (SELECT query_id, 'vector' AS strategy, 1 AS s, row_id AS chunk_id, rank FROM vec UNION ALL SELECT query_id, 'lexical', 2, row_id, rank FROM lex)"
+_VEC = f"vec AS ({_vector_sql(DEPTH, 'q.vec_id IN (SELECT item_id FROM benchmark)')})"
+
+
+def _lists_sql(limit: int) -> str:
+    return f"""WITH {_BM25}, {_VEC}, lists AS (SELECT query_id, 'vector' AS strategy, 1 AS s, row_id AS chunk_id, rank FROM vec WHERE rank <= {4 * limit}
+        UNION ALL SELECT query_id, 'lexical', 2, row_id, rank FROM lex WHERE rank <= {4 * limit})"""
 
 
 def _fused_sql(weight: str, limit: int, by: str = "query_id", tail: str = "") -> str:
@@ -277,32 +281,33 @@ def _fused_sql(weight: str, limit: int, by: str = "query_id", tail: str = "") ->
         row_number() OVER (PARTITION BY {by} ORDER BY round(sum(({weight}) / ({fusion.RRF_K} + rank)), 12) DESC, min(s * 1000 + rank), chunk_id)::INTEGER AS rank FROM lists {tail} GROUP BY {by}, chunk_id) WHERE rank <= {limit}"""
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lists(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """Each strategy gathers four times the limit."""
     e = table(spark, sf_dir, "embeddings")
     ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     q = e.join(ids, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return fusion.ranked({"vector": vector.top_k(q, e, 20), "lexical": _lexical_lists(spark, sf_dir)})
+    return fusion.ranked({"vector": vector.top_k(q, e, 4 * limit), "lexical": _lexical_lists(spark, sf_dir, 4 * limit)})
 
 
 def _shown(df: DataFrame) -> DataFrame:
     return df.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "vector_rank", "lexical_rank", "rank")
 
 
-@query(f"{_LISTS} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('1.0', 10)})")
+@query(f"{_lists_sql(10)} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('1.0', 10)})")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(fusion.fuse(_lists(spark, sf_dir), limit=10))
+    return _shown(fusion.fuse(_lists(spark, sf_dir, 10), limit=10))
 
 
-@query(f"{_LISTS} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('CASE WHEN s = 1 THEN 0.0 ELSE 2.0 END', 30)})")
+@query(f"{_lists_sql(30)} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('CASE WHEN s = 1 THEN 0.0 ELSE 2.0 END', 30)})")
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(fusion.fuse(_lists(spark, sf_dir), {"vector": -1.0, "lexical": 2.0}, 30))
+    return _shown(fusion.fuse(_lists(spark, sf_dir, 30), {"vector": -1.0, "lexical": 2.0}, 30))
 
 
-@query(f"{_LISTS} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('1.0', 10, tail='WHERE (query_id % 3 = 0) OR (query_id % 3 = s)')})")
+@query(f"{_lists_sql(10)} SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, lexical_rank, rank FROM ({_fused_sql('1.0', 10, tail='WHERE (query_id % 3 = 0) OR (query_id % 3 = s)')})")
 def rrf_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.element_at(F.array(*[F.lit(m) for m in ("hybrid", "vector", "lexical")]), (F.col("query_id") % 3 + 1).cast("int"))
     on = F.coalesce(*[F.when((mode == m), F.col("strategy").isin(*parts)) for m, parts in fusion.MODES.items()])
-    return _shown(fusion.fuse(_lists(spark, sf_dir).where(on), limit=10))
+    return _shown(fusion.fuse(_lists(spark, sf_dir, 10).where(on), limit=10))
 
 
 @query()
@@ -321,14 +326,20 @@ def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.rerank(hits, lambda q, t: F.length(t).cast("double")).select("query_id", "chunk_id", "score", "reranker_rank")
 
 
+@query(f"""{_lists_sql(10)}, n AS (SELECT query_id, strategy, count(*) AS candidates FROM lists WHERE (query_id % 3 = 0) OR (query_id % 3 = s) GROUP BY ALL) SELECT * FROM n""")
+def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates that each strategy gathers for each query, by the query's mode."""
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("hybrid", "vector", "lexical")]), (F.col("query_id") % 3 + 1).cast("int"))
+    on = F.coalesce(*[F.when((mode == m), F.col("strategy").isin(*parts)) for m, parts in fusion.MODES.items()])
+    return search.candidates(_lists(spark, sf_dir, 10).where(on))
+
+
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search plan, graph included, over all documents as chunks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     c = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path"), "text", F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), embed.hashed("text").alias("embedding"))
-    nodes, edges = extract.graph(docs, "doc_id")
-    nodes = nodes.withColumnRenamed("source_ids", "chunk_ids").withColumn("embedding", embed.hashed("name"))
-    corpus = search.Corpus(c, nodes, edges.withColumnRenamed("source_id", "chunk_id"))
+    corpus = search.Corpus(c, *_doc_graph(docs, "hashing"))
     q = _samples(spark, sf_dir).withColumn("mode", F.lit("auto"))
     return search.search(q, corpus, search.Options(limit=5, expansion=True, mmr=True)).drop("text")
 
@@ -360,6 +371,35 @@ def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "sent", "subject", "predicate", "object")
 
 
+def _doc_graph(docs: DataFrame, model: str | None) -> tuple[DataFrame, DataFrame]:
+    """The graph of documents, each a source of one chunk."""
+    return ingest.graph(docs.select(F.col("doc_id").cast("string").alias("source_key"), F.col("doc_id").alias("chunk_id"), "text"), 0.0, model)
+
+
+_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NODE = f"""ent AS (SELECT doc_id, name, type FROM mention QUALIFY row_number() OVER (PARTITION BY doc_id, low ORDER BY sent, pos) = 1),
+    form AS (SELECT *, {_NORM.format("name")} AS norm FROM ent),
+    best AS (SELECT doc_id, norm, max({{'len': length(name), 'name': name, 'type': type}}) AS b, list_sort(list(DISTINCT name)) AS names FROM form GROUP BY doc_id, norm),
+    resolved AS (SELECT doc_id, norm, b.name AS name, b.type AS type, list_filter(names, lambda x: x <> b.name) AS aliases FROM best)"""
+
+
+@query(f"""WITH {_MENTION}, {_NODE} SELECT name, type, list_sort(list_distinct(flatten(list(aliases)))) AS aliases, list_sort(list(DISTINCT doc_id)) AS chunk_ids, min(doc_id::VARCHAR) AS source_file FROM resolved GROUP BY name, type""")
+def graph_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the document graph: surface forms of equal normalised names within a document are one entity."""
+    nodes, _ = _doc_graph(table(spark, sf_dir, "documents"), None)
+    return nodes.select("name", "type", "aliases", "chunk_ids", "source_file")
+
+
+@query(f"""WITH {_MENTION}, {_NODE}, pair AS (SELECT a.doc_id, a.sent, {_NORM.format("a.name")} AS s, {_NORM.format("b.name")} AS o, a.pos AS pa, b.pos AS pb FROM mention a JOIN mention b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.pos < b.pos)
+    SELECT x.name AS subject, x.type AS subject_type, y.name AS object, y.type AS object_type, min(p.doc_id::VARCHAR) AS source_file FROM pair p JOIN resolved x ON x.doc_id = p.doc_id AND x.norm = p.s
+    JOIN resolved y ON y.doc_id = p.doc_id AND y.norm = p.o WHERE (x.name, x.type) <> (y.name, y.type) GROUP BY 1, 2, 3, 4""")
+def graph_resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the document graph, between canonical entities, with the first source of each."""
+    nodes, edges = _doc_graph(table(spark, sf_dir, "documents"), None)
+    end = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side), F.col("type").alias(f"{side}_type"))
+    return edges.join(end("subject"), "subject_id").join(end("object"), "object_id").select("subject", "subject_type", "object", "object_type", "source_file")
+
+
 _STAR = """node AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, 'nation' AS type, 1.0::DOUBLE AS confidence FROM nation
         UNION ALL SELECT 1000 + r_regionkey, r_name, 'region', 1.0 FROM region
         UNION ALL SELECT 10000 + s_suppkey, s_name, 'supplier', round((s_acctbal + 1000) / 11000, 4) FROM supplier
@@ -389,7 +429,7 @@ def _star(spark: SparkSession, sf_dir: str, gate: float = 0.0) -> tuple[DataFram
 def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _star(spark, sf_dir)
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.lower("n_name").alias("name"))
-    return graph.neighbourhood(names, nodes, edges)
+    return graph.neighbourhood(names, nodes, edges).drop("anchor", "evidence", "source_file")
 
 
 @query(f"""WITH {_STAR}, top AS (SELECT * FROM node WHERE starts_with(lower(name), 'supp') ORDER BY confidence DESC, name, id LIMIT 20)
@@ -417,17 +457,20 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a query over a graph whose nodes are vectors and whose edges are similar pairs."""
     e = table(spark, sf_dir, "embeddings")
     nodes = e.select(F.col("vec_id").alias("id"), "embedding", F.array("vec_id").alias("chunk_ids"))
-    p = resolve.similar_pairs(e, 0.35, None)
-    edges = p.select((F.col("i") * 10_000_000 + F.col("j")).alias("id"), F.col("i").alias("subject_id"), F.col("j").alias("object_id"), F.lit("near").alias("predicate"), F.round("sim", 6).alias("confidence"), F.col("i").alias("chunk_id"))
+    p = vector.pairs_above(e, 0.35)
+    edges = p.select(F.xxhash64("i", "j").alias("id"), F.col("i").alias("subject_id"), F.col("j").alias("object_id"), F.lit("near").alias("predicate"), F.round("sim", 6).alias("confidence"), F.col("i").alias("chunk_id"))
     return graph.search(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), nodes, edges, 5)
 
 
 _PAIR = f"pair AS (SELECT q.vec_id AS i, e.vec_id AS j, {_COS} AS sim FROM embeddings q JOIN embeddings e ON q.vec_id < e.vec_id)"
 
 
-@query(f"WITH {_PAIR} SELECT i, j, round(sim, 6) AS sim FROM pair WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j DESC) <= 10")
+@query(f"""WITH {_PAIR}, side AS (SELECT i AS a, j AS b, sim FROM pair WHERE sim >= 0.3 UNION ALL SELECT j, i, sim FROM pair WHERE sim >= 0.3),
+    near AS (SELECT * FROM side QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b DESC) <= 10)
+    SELECT least(a, b) AS i, greatest(a, b) AS j, round(max(sim), 6) AS sim FROM near GROUP BY 1, 2""")
 def entity_resolve_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3, 10).withColumn("sim", F.round("sim", 6))
+    """Pairs of which either side is among the other's ten closest."""
+    return resolve.candidate_pairs(table(spark, sf_dir, "embeddings"), 0.3, 10).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""WITH RECURSIVE {_PAIR}, link AS MATERIALIZED (SELECT i, j FROM pair WHERE sim >= 0.35 UNION ALL SELECT j, i FROM pair WHERE sim >= 0.35),
@@ -435,7 +478,7 @@ def entity_resolve_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT node, min(root) AS root FROM reach GROUP BY node""")
 def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return resolve.components(e.select(F.col("vec_id").alias("node")), resolve.similar_pairs(e, 0.35, None).select("i", "j"))
+    return resolve.components(e.select(F.col("vec_id").alias("node")), vector.pairs_above(e, 0.35).select("i", "j"))
 
 
 @query("""SELECT lower(trim(regexp_replace(regexp_replace(p_type, '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS norm, count(*) AS n, min(p_partkey) AS root FROM part GROUP BY ALL""")
@@ -468,8 +511,7 @@ def _eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     v = _vector_lists(spark, sf_dir, 11).where("row_id <> query_id")
     hits = v.select(F.col("query_id").alias("case_id"), F.col("row_id").alias("item"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
-    rel = e.select(F.col("vec_id").alias("case_id"), "label").join(e.select(F.col("vec_id").alias("item"), "label"), "label").where("case_id <> item")
-    return evaluate.case_metrics(hits, rel, 10)
+    return evaluate.label_metrics(hits, e.select(F.col("vec_id").alias("item"), "label"), 10)
 
 
 _ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in evaluate.METRICS)
@@ -485,11 +527,15 @@ def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.means(_eval(spark, sf_dir)).select(*[F.round(m, 9).alias(m) for m in evaluate.METRICS], "cases")
 
 
+_BASELINE = {m: 0.15 for m in evaluate.METRICS}
+
+
 @query(f"""{_EVAL}, mean AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in evaluate.METRICS)} FROM metric), long AS (UNPIVOT mean ON {_METRICS} INTO NAME metric_name VALUE value)
     SELECT metric_name AS metric, round(value, 9) AS value, 0.15::DOUBLE AS baseline, value < 0.15 - 0.01 AS regressed FROM long""")
 def baseline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = evaluate.means(_eval(spark, sf_dir)).unpivot([], list(evaluate.METRICS), "metric", "value")
-    return long.select("metric", F.round("value", 9).alias("value"), F.lit(0.15).alias("baseline"), (F.col("value") < 0.15 - 0.01).alias("regressed"))
+    now = evaluate.means(_eval(spark, sf_dir)).first().asDict()
+    worse = set(evaluate.compare(now, _BASELINE, 0.01))
+    return spark.createDataFrame([(m, round(now[m], 9), _BASELINE[m], m in worse) for m in evaluate.METRICS], "metric string, value double, baseline double, regressed boolean")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]+')) AS token FROM documents),
@@ -503,14 +549,14 @@ def synth_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = "SELECT v.w AS w_vector, l.w AS w_lexical FROM (VALUES (0.0), (0.5), (1.0), (2.0)) v(w), (VALUES (0.0), (0.5), (1.0), (2.0)) l(w)"
 
 
-@query(f"""{_LISTS}, fused AS ({_fused_sql("CASE WHEN s = 1 THEN w_vector ELSE w_lexical END", 5, "query_id, w_vector, w_lexical", f"CROSS JOIN ({_GRID})")}),
+@query(f"""{_lists_sql(5)}, fused AS ({_fused_sql("CASE WHEN s = 1 THEN w_vector ELSE w_lexical END", 5, "query_id, w_vector, w_lexical", f"CROSS JOIN ({_GRID})")}),
     hits AS (SELECT w_vector, w_lexical, query_id AS case_id, chunk_id AS item, rank FROM fused),
     rel AS (SELECT item_id AS case_id, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)), {_metric_sql("w_vector, w_lexical", 5)}
     SELECT w_vector::DOUBLE AS w_vector, w_lexical::DOUBLE AS w_lexical, {', '.join(f'round(avg({m}), 9) AS {m}' for m in evaluate.METRICS)}, count(*) AS cases FROM metric GROUP BY ALL""")
 def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    rel = d.select("doc_id", "text").join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.col("text").contains(F.col("passage")))  # benchmark has a fixed size
-    out = evaluate.tune(_lists(spark, sf_dir), rel.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("item")), 5)
+    rel = evaluate.containing(d.select("doc_id", "text"), b.select("item_id", F.col("text").alias("passage")))
+    out = evaluate.tune(_lists(spark, sf_dir, 5), rel.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("item")), 5)
     return out.select("w_vector", "w_lexical", *[F.round(m, 9).alias(m) for m in evaluate.METRICS], "cases")
 
 
@@ -518,14 +564,14 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BEFORE = "before AS (SELECT 'd' || doc_id AS source_key, doc_id, sha256(text) AS content_hash, text FROM documents)"
 _AFTER = """after AS (SELECT source_key, doc_id, sha256(t) AS content_hash, t AS text FROM (SELECT 'd' || doc_id AS source_key, doc_id, CASE WHEN source = 'src1' THEN upper(text) ELSE text END AS t FROM documents WHERE lang <> 'fr'
-    UNION ALL SELECT 'n' || doc_id, doc_id + 100000000, text FROM documents WHERE source = 'src2'))"""
+    UNION ALL SELECT 'n' || doc_id, -1 - doc_id, text FROM documents WHERE source = 'src2'))"""
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     keyed = lambda df, p: df.select(F.concat(F.lit(p), "doc_id").alias("source_key"), "doc_id", "text")
     edited = d.where("lang <> 'fr'").withColumn("text", F.when(F.col("source") == "src1", F.upper("text")).otherwise(F.col("text")))
-    after = keyed(edited, "d").unionByName(keyed(d.where("source = 'src2'"), "n").withColumn("doc_id", F.col("doc_id") + 100_000_000))
+    after = keyed(edited, "d").unionByName(keyed(d.where("source = 'src2'"), "n").withColumn("doc_id", -1 - F.col("doc_id")))
     return tuple(df.withColumn("content_hash", F.sha2("text", 256)) for df in (keyed(d, "d"), after))
 
 

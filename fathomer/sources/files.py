@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_image, is_indexable, language_of
+from ..storage import file_system
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 COLUMNS = "source_key string, path string, modificationTime timestamp, length bigint, content binary, is_image boolean, language string"
 
 
-def _key(root: str) -> Column:
-    base = os.path.abspath(root).rstrip("/") + "/"
-    return F.regexp_replace(F.url_decode(F.regexp_replace("path", r"^file:(?://)?", "")), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in base), "")
-
-
 def items(spark: SparkSession, root: str) -> DataFrame:
-    """All indexable files below root, keyed by relative path; empty if there is no such folder.
+    """All indexable files below root (a path or any URI that Hadoop reads), keyed by relative path.
 
+    FileNotFoundError if there is no such folder: an unreadable root must not look like an empty one.
     Content is read only where it is used: a selection of the other columns lists files and no more.
     """
-    if not os.path.isdir(root) or not any(files for _, _, files in os.walk(root)):
+    fs, path = file_system(spark, root)
+    if not fs.exists(path):
+        raise FileNotFoundError(root)
+    base = fs.makeQualified(path).toString().rstrip("/")
+    if not fs.listFiles(path, True).hasNext():
         return spark.createDataFrame([], COLUMNS)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    named = raw.withColumn("source_key", _key(root)).where(is_indexable(F.col("source_key")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    plain = F.regexp_replace("path", "^([a-z0-9]+:)//(?=/)", "$1")
+    named = raw.withColumn("source_key", F.substring(plain, len(base) + 2, 1 << 20)).where(is_indexable(F.col("source_key")))
     return named.select("source_key", "path", "modificationTime", "length", "content", is_image(F.col("source_key")).alias("is_image"), language_of(F.col("source_key")).alias("language"))
 
 
@@ -46,6 +46,12 @@ def combined(*signatures: DataFrame) -> DataFrame:
     return out
 
 
+def digest(signature: DataFrame) -> str:
+    """One value of a listing that any addition, edit or deletion changes."""
+    row = signature.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*signature.columns).cast("decimal(38,0)")), F.lit(0))).first()
+    return f"{row[0]}-{row[1]}"
+
+
 def texts(sources: DataFrame) -> DataFrame:
     """sources with text: strict UTF-8; null where the bytes aren't."""
     return sources.withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))

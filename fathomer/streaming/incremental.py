@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..ids import content_hash, fingerprint
 from ..storage import Snapshots
 
-ACTIONS = ("add", "reprocess", "unchanged", "delete")
+COUNTS = {"add": "adds", "reprocess": "reprocesses", "unchanged": "unchanged", "delete": "deletes"}
+ACTIONS = tuple(COUNTS)
 
 
 def classify(sources: DataFrame, memo: DataFrame, force: bool = False) -> DataFrame:
@@ -57,34 +58,41 @@ class Target:
 
     def __init__(self, spark: SparkSession, path: str, columns: str, version: str = "1", settings: str = ""):
         self.spark, self.version, self.settings = spark, version, settings
-        self.rows = Snapshots(spark, f"{path}/rows", f"source_key string, row_id bigint, {columns}")
+        self.rows = Snapshots(spark, f"{path}/rows", f"source_key string, row_id bigint, {columns}", "source_key")
         self.memo = Snapshots(spark, f"{path}/memo", "source_key string, content_hash string")
 
     def hashed(self, sources: DataFrame, content: str = "content") -> DataFrame:
         """sources with content_hash: content, logic version and settings."""
         return sources.withColumn("content_hash", content_hash(self.version, self.settings, F.col(content)))
 
-    def update(self, sources: DataFrame, transform: Callable[[DataFrame], DataFrame], force: bool = False, content: str = "content") -> dict[str, int]:
-        """Transform added and changed sources only; delete the rows of vanished ones. Returns counts by action, and of row writes and skips.
+    def update(self, sources: DataFrame, transform: Callable[[DataFrame], DataFrame], force: bool = False, content: str = "content", allow_empty: bool = False) -> dict[str, int]:
+        """Transform added and changed sources only; delete the rows of vanished ones.
 
-        An exception of the transform leaves the target as it was.
+        Returns counts: adds, reprocesses, unchanged, deletes, processed (adds and reprocesses), errors (sources with a null hash: never
+        remembered, so tried again), writes and skips of rows. An exception of the transform leaves the target as it was.
+        ValueError where all known sources have vanished at once, unless ``allow_empty`` says that it is meant.
         """
         hashed = self.hashed(sources, content)
         actions = classify(hashed, self.memo.read(), force).cache()
         counts = {a: 0 for a in ACTIONS} | {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
-        out = {f"{a}s" if a != "unchanged" else a: counts[a] for a in ACTIONS} | {"writes": 0, "skips": 0}
+        errors = actions.where("action <> 'delete' and content_hash is null").count()
+        if counts["delete"] and counts["delete"] == sum(counts.values()) and not allow_empty:
+            actions.unpersist()
+            raise ValueError(f"all {counts['delete']} known sources are gone; allow_empty=True deletes their rows")
+        out = {COUNTS[a]: counts[a] for a in ACTIONS} | {"processed": counts["add"] + counts["reprocess"], "errors": errors, "writes": 0, "skips": 0}
         if counts["unchanged"] == sum(counts.values()):
             actions.unpersist()
             return out
         changed = hashed.join(actions.where("action in ('add', 'reprocess')").select("source_key"), "source_key", "left_semi")
-        stored = self.rows.read()
+        gone = actions.where("action <> 'unchanged'").select("source_key")
+        parts = self.rows.touched(gone)
+        stored = self.rows.read(parts)
         values = [c for c in stored.columns if c not in ("source_key", "row_id")]
         desired = transform(changed).select("source_key", "row_id", *values).dropDuplicates(["source_key", "row_id"]).cache()
-        gone = actions.where("action <> 'unchanged'").select("source_key")
         diff = row_diff(desired, stored.join(gone, "source_key", "left_semi"), ["source_key", "row_id"], values)
         by = {r.action: r["count"] for r in diff.groupBy("action").count().collect()}
         if by.keys() - {"skip"}:
-            self.rows.commit(stored.join(gone, "source_key", "left_anti").unionByName(desired))
+            self.rows.commit(stored.join(gone, "source_key", "left_anti").unionByName(desired), parts)
         self.memo.commit(actions.where("action <> 'delete' and content_hash is not null").select("source_key", "content_hash"))
         desired.unpersist()
         actions.unpersist()
@@ -95,8 +103,9 @@ class Target:
 
     def drop_source(self, source_key: str) -> int:
         """Delete a source's rows and forget it; returns the number of rows."""
-        rows = self.rows.read()
+        parts = self.rows.touched(self.spark.createDataFrame([(source_key,)], "source_key string"))
+        rows = self.rows.read(parts)
         n = rows.where(F.col("source_key") == source_key).count()
-        self.rows.commit(rows.where(F.col("source_key") != source_key))
+        self.rows.commit(rows.where(F.col("source_key") != source_key), parts)
         self.memo.commit(self.memo.read().where(F.col("source_key") != source_key))
         return n

@@ -1,29 +1,39 @@
-"""Live mode: a file stream triggers updates; listings, not the stream, say what exists (a stream never reports deletions)."""
+"""Live mode: a clock stream lists the sources; additions, edits and deletions trigger an update, an unchanged listing doesn't."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import files
+from ..storage import read_text, write_text
 
 
-def watch(spark: SparkSession, root: str, update: Callable[[DataFrame], object], checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Call update(sources) with the full current listing whenever files arrive; without an interval, once for what is there."""
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema(files.SCHEMA).load(root).select("path", "modificationTime", "length")
+def poll(spark: SparkSession, roots: str | list[str], update: Callable[..., object], state: str) -> bool:
+    """Call update(sources, ...), one table per root, if any listing differs from the last one that was updated for; whether it did.
 
-    def batch(df: DataFrame, _: int) -> None:
-        if df.limit(1).count():
-            update(files.items(df.sparkSession, root))
+    The digest of the listings is kept in the folder ``state`` after the update, so one that fails is tried again.
+    """
+    roots = [roots] if isinstance(roots, str) else roots
+    listed = [files.items(spark, r) for r in roots]
+    now = files.digest(files.combined(*[files.signature(x) for x in listed]))
+    if now == read_text(spark, f"{state}/_LISTING"):
+        return False
+    update(*listed)
+    write_text(spark, f"{state}/_LISTING", now)
+    return True
 
-    out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()
 
+def watch(spark: SparkSession, roots: str | list[str], update: Callable[..., object], state: str, interval: str = "2 seconds") -> StreamingQuery:
+    """Poll at every tick of a stream until it is stopped."""
+    busy = threading.Lock()
 
-def changed(before: DataFrame, now: DataFrame) -> bool:
-    """Whether two listings (source_key, modificationTime, length) differ: additions, edits and deletions."""
-    cols = ["source_key", "modificationTime", "length"]
-    a, b = before.select(*cols), now.select(*cols)
-    return bool(a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count())
+    def tick(df: DataFrame, _: int) -> None:
+        with busy:
+            poll(spark, roots, update, state)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{state}/clock").trigger(processingTime=interval).start()

@@ -148,9 +148,9 @@ def test_graph_search_has_all_edges(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     sim = np.round(x @ x.T, 12)
-    rows = [(i * 10_000_000 + j, i, j, "near", round(float(sim[i, j]), 6), i) for i in range(14) for j in range(i + 1, 14) if sim[i, j] >= 0.35]
+    rows = [(0, i, j, "near", round(float(sim[i, j]), 6), i) for i in range(14) for j in range(i + 1, 14) if sim[i, j] >= 0.35]
     assert max(sum(r[1] == i for r in rows) for i in range(14)) > 3
-    edges = spark.createDataFrame(rows, "id bigint, subject_id bigint, object_id bigint, predicate string, confidence double, chunk_id bigint")
+    edges = spark.createDataFrame(rows, "id bigint, subject_id bigint, object_id bigint, predicate string, confidence double, chunk_id bigint").withColumn("id", F.xxhash64("subject_id", "object_id"))
     nodes = e.selectExpr("vec_id AS id", "embedding", "array(vec_id) AS chunk_ids")
     want = graph.search(e.selectExpr("vec_id AS query_id", "embedding AS query_vector"), nodes, edges, 5)
     assert sorted(map(tuple, catalog.QUERIES["graph_search"](spark, str(tmp_path)).collect())) == sorted(map(tuple, want.collect()))
