@@ -1,19 +1,18 @@
 r"""Line deduplication by an exact set-similarity join.
 
-A line (split at \n) is the set of its words; a line is removed if any earlier line (by doc_id, then line
-number) has a Jaccard similarity >= t. Two passes find that exactly:
+A line (split at \n) is the set of its words; lines of equal sets form a class, which its earliest line (by doc_id, then line
+number) represents. ``similar_lines`` returns every link: each further line of a class with its representative (jaccard 1), and each pair
+of representatives with a Jaccard similarity >= t, later line first. Links between other lines follow from these two. A line is removed
+if any earlier line is similar, that is, if it is the first of a link; ``removed_lines`` keeps one link of each.
 
-1. Witnesses. Lines meet by minhashes of their longer words; each is proposed to the earliest line there and to its
-   neighbour in size where 128-bit bitmaps of their words are close, and what verifies is removed at once. This spares the join the quadratic number of pairs within large
-   groups of near copies: a removed line needs no second match.
-2. The join. Tokens are put in one global order, rare ones first, by counts over all documents in ``BUCKETS``
-   hashed counters (any fixed total order keeps the join exact; collisions only cost speed). Similar lines share a token
-   within their prefixes, so only prefix tokens are posted. Postings meet by token; lines of equal sets are collapsed to their
-   first; pairs whose later line isn't removed yet are cut by length, by position and by a bound on
-   the symmetric difference from 128-bit parity bitmaps, and the rest are verified on full token sets.
+Tokens are put in one global order, rare ones first, by counts over all documents in ``BUCKETS``
+hashed counters (any fixed total order keeps the join exact; collisions only cost speed). Similar lines share a token
+within their prefixes, so only prefix tokens are posted. Postings meet by token; lines of a class are collapsed to their
+representative; pairs are cut by length, by position and by a bound on
+the symmetric difference from 128-bit parity bitmaps, and the rest are verified on full token sets. Nothing else is left out: the number of links within
+a large group of near copies grows with its square.
 
-Which earlier line is reported: the first line with the same words and counts of words, if an earlier one exists; else the earliest verified witness; else the
-earliest similar line that the join finds.
+Which link ``removed_lines`` keeps: to the first line with the same words, if an earlier one exists; else to the earliest similar line.
 
 No token's postings are compared in one task beyond ``BLOCK`` of them: pairs of blocks are spread over all tasks.
 
@@ -37,18 +36,15 @@ THRESHOLD = 0.85
 BUCKETS = 1 << 18
 _RANGES = 64
 
-#: Tokens and sets are cut to 32 bits within postings: a false meeting of tokens only costs a check, and sets are told apart by their bitmaps too.
-_POSTING = np.dtype([("key", "<u4"), ("sid", "<u4"), ("bits", "<u8", (2,)), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4")])
-_MEETING = np.dtype([("key", "<u8"), ("sid", "<u8"), ("bits", "<u8", (2,)), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4")])
-_FLAG = np.dtype([("key", "<u4"), ("doc", "<i8"), ("line", "<u4")])
-#: Minhashes by which lines meet in the first pass; words of more bytes than LONG (with the gap after them) come first, as they are rarer.
-MEETINGS, LONG = 2, 9
-_SEEDS = tuple(np.random.default_rng(3).integers(1 << 62, 1 << 63, MEETINGS, dtype=np.uint64) | np.uint64(1))
+#: Tokens are cut to 32 bits within postings: a false meeting only costs a check. Sets keep 64 bits, as members of a class aren't verified.
+_POSTING = np.dtype([("key", "<u4"), ("sid", "<u8"), ("bits", "<u8", (2,)), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4")])
+_SEED = np.random.default_rng(3).integers(1 << 62, 1 << 63, dtype=np.uint64) | np.uint64(1)
 #: Distinct postings of one token that are compared within its task. A token with more is cut into blocks of this size; pairs of blocks
 #: whose lengths allow a match are dealt to all tasks. PASS_BYTES of postings are sorted at a time.
 BLOCK, PASS_BYTES = 20_000, 256 << 20
-_UNIT = np.dtype([*_POSTING.descr, ("gone", "u1")])
-_COLUMNS = "doc bigint, line int, match_doc bigint, match_line int, same boolean"
+_COLUMNS = "doc bigint, line int, sid bigint, match_doc bigint, match_line int, match_sid bigint, same boolean"
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+_NAMES = ["doc", "line", "sid", "match_doc", "match_line", "match_sid", "same"]
 
 
 def _lines(w: kernels.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,10 +89,8 @@ def _pairs(x: np.ndarray, y: np.ndarray, same: bool) -> pa.RecordBatch:
     late, early = np.where(swap, y, x), np.where(swap, x, y)
     ok = (late["doc"] != early["doc"]) | (late["line"] != early["line"])
     late, early = late[ok], early[ok]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(late["doc"]), pa.array(late["line"].astype(np.int32)), pa.array(early["doc"]), pa.array(early["line"].astype(np.int32)), pa.array(np.full(len(late), same))],
-        ["doc", "line", "match_doc", "match_line", "same"],
-    )
+    sides = [c for r in (late, early) for c in (pa.array(r["doc"]), pa.array(r["line"].astype(np.int32)), pa.array(r["sid"].astype(np.int64)))]
+    return pa.RecordBatch.from_arrays([*sides, pa.array(np.full(len(late), same))], _NAMES)
 
 
 def _before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -111,76 +105,36 @@ def _again(rec: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_pass(docs: DataFrame, t: float) -> tuple[DataFrame, np.ndarray]:
-    """Proposed pairs (same: equal words and counts), and the counts of words over all documents, from one scan."""
+def _set_ids(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of each line's distinct words."""
+    return np.add.reduceat(kernels.mix64(h ^ _SEED), start)
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """The counts of words over all documents, in BUCKETS hashed counters."""
     n_parts = frames.partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for b in kernels.slices(batch, "text"):
-                w = kernels.words_of(b.column(1))
-                if len(w.hashes) == 0:
-                    continue
-                total += np.bincount((w.hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                row, line, whole = _lines(w)
-                start, n = kernels.runs(whole)
-                sid = np.add.reduceat(kernels.mix64(w.hashes ^ _SEEDS[0]), start)
-                rec = np.empty((MEETINGS, len(start)), _MEETING)
-                short = (np.diff(w.starts, append=len(w.data)) <= LONG).astype(np.uint64) << np.uint64(63)
-                for i, seed in enumerate(_SEEDS[:MEETINGS]):
-                    low = np.minimum.reduceat((((w.hashes ^ seed) * seed) >> np.uint64(1)) | short, start)
-                    rec[i]["key"] = (kernels.mix64(low) & ~np.uint64(1)) | np.uint64(i > 0)
-                bit = np.uint64(1) << (w.hashes & np.uint64(63))
-                upper = (w.hashes & np.uint64(64)) != 0
-                for half in (0, 1):
-                    rec["bits"][:, :, half] = np.bitwise_or.reduceat(np.where(upper == bool(half), bit, np.uint64(0)), start)
-                rec["sid"], rec["n"], rec["doc"], rec["line"] = sid, n, b.column(0).to_numpy()[row[start]], line[start]
-                rec = rec.reshape(-1)
-                out = kernels.scatter(_pid(rec["key"], n_parts), rec, n_parts)
-                yield out.append_column("kind", pa.array(np.zeros(out.num_rows, np.int32)))
-        parts = total.reshape(_RANGES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_RANGES, dtype=np.int32) % n_parts), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(np.arange(1, _RANGES + 1, dtype=np.int32))], ["pid", "blob", "kind"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, sums = [], {}
+                total += np.bincount((kernels.words_of(b.column(1)).hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        r = np.arange(_RANGES, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(r % n_parts), pa.array(r), pa.array([p.tobytes() for p in total.reshape(_RANGES, -1)], pa.binary())], ["pid", "r", "c"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
         for b in batches:
-            for blob, kind in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if kind:
-                    sums[kind - 1] = sums.get(kind - 1, 0) + np.frombuffer(blob, np.int64)
-                else:
-                    blobs.append(kernels.unpack(blob, _MEETING))
-
-        def full(p: pa.RecordBatch) -> pa.RecordBatch:
-            return p.append_column("r", pa.nulls(p.num_rows, pa.int32())).append_column("c", pa.nulls(p.num_rows, pa.binary()))
-
-        none = [pa.nulls(len(sums), k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["doc", "line", "match_doc", "match_line", "same", "r", "c"])
-        if not blobs:
-            return
-        rec = _shared(np.concatenate(blobs))
-        rec = rec[np.lexsort((rec["line"], rec["doc"], rec["sid"], rec["n"], rec["key"]))]
-        again = _again(rec)
-        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(rec))))
-        copy = np.flatnonzero(again & (rec["key"] & np.uint64(1) == 0))
-        yield full(_pairs(rec[copy], rec[first[copy]], True))
-        rec = rec[~again]
-        key, n = rec["key"], rec["n"].astype(np.int64)
-        at, size = kernels.runs(key)
-        order = np.lexsort((rec["line"], rec["doc"], key))
-        head = np.repeat(order[at], size)  # the earliest line of each run
-        for one, two in ((np.arange(len(rec)), head), (np.arange(1, len(rec)), np.arange(len(rec) - 1))):
-            differ = np.bitwise_count(rec["bits"][one] ^ rec["bits"][two]).sum(axis=1, dtype=np.int64)
-            ok = (key[one] == key[two]) & (one != two) & (differ * (1 + t) <= (1 - t) * (n[one] + n[two]))
-            yield full(_pairs(rec[one[ok]], rec[two[ok]], False))
-
-    sent = docs.mapInArrow(emit, "pid int, blob binary, kind int")
-    both = frames.written(frames.by_id(sent, n_parts).mapInArrow(meet, f"{_COLUMNS}, r int, c binary"), "line-first")
-    got = both.where("r is not null").select("r", "c").toArrow()  # BUCKETS numbers
+            for r, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                sums[r] = sums.get(r, 0) + np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["r", "c"])
+
+    sent = docs.mapInArrow(emit, "pid int, r int, c binary")
+    got = frames.by_id(sent, n_parts).mapInArrow(add, "r int, c binary").toArrow()  # BUCKETS numbers
     out = np.zeros((_RANGES, BUCKETS // _RANGES), np.int64)
     for r, c in zip(got.column("r").to_pylist(), got.column("c").to_pylist()):
         out[r] = np.frombuffer(c, np.int64)
-    return both.where("r is null").select("doc", "line", "match_doc", "match_line", "same").distinct(), out.reshape(-1)
+    return out.reshape(-1)
 
 
 def _shared(rec: np.ndarray) -> np.ndarray:
@@ -193,8 +147,8 @@ def _shared(rec: np.ndarray) -> np.ndarray:
     return rec[more[at] == rec["key"]]
 
 
-def join_pairs(docs: DataFrame, count: np.ndarray, flags: DataFrame, t: float) -> DataFrame:
-    """Pairs of the join whose later line is not in flags (doc, line, tokens)."""
+def join_pairs(docs: DataFrame, count: np.ndarray, t: float) -> DataFrame:
+    """Members of classes with their representatives (same), and pairs of representatives that may be similar."""
     spark = docs.sparkSession
     n_parts = frames.partitions(spark)
     sent = spark.sparkContext.broadcast(count)  # of fixed size
@@ -216,36 +170,13 @@ def join_pairs(docs: DataFrame, count: np.ndarray, flags: DataFrame, t: float) -
                 for half in (0, 1):
                     rec["bits"][:, half] = np.bitwise_xor.reduceat(np.where(upper == bool(half), bit, np.uint64(0)), start)[of]
                 mixed = kernels.mix64(key[at])
-                rec["key"], rec["sid"] = mixed >> np.uint64(32), (np.add.reduceat(kernels.mix64(h ^ _SEEDS[0]), start) >> np.uint64(32))[of]
+                rec["key"], rec["sid"] = mixed >> np.uint64(32), _set_ids(h, start)[of]
                 rec["doc"], rec["line"] = b.column(0).to_numpy()[row[at]], line[at]
                 rec["n"], rec["pos"] = n[of], pos
-                out = kernels.scatter(_pid(mixed, n_parts), rec, n_parts)
-                yield out.append_column("kind", pa.array(np.zeros(out.num_rows, np.int32)))
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = b.column(2)
-            size = np.diff(sets.offsets.to_numpy())
-            if b.num_rows == 0:
-                continue
-            key = _order_key(sets.flatten().to_numpy().astype(np.uint64), sent.value)
-            of = np.repeat(np.arange(b.num_rows), size)
-            order = np.lexsort((key, of))
-            key, of = key[order], of[order]
-            pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            use = pos < np.repeat(prefix_length(size, t), size)
-            rec = np.empty(int(use.sum()), _FLAG)
-            mixed = kernels.mix64(key[use])
-            rec["key"], rec["doc"], rec["line"] = mixed >> np.uint64(32), b.column(0).to_numpy()[of[use]], b.column(1).to_numpy()[of[use]]
-            out = kernels.scatter(_pid(mixed, n_parts), rec, n_parts)
-            yield out.append_column("kind", pa.array(np.ones(out.num_rows, np.int32)))
+                yield kernels.scatter(_pid(mixed, n_parts), rec, n_parts)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, marks = [], [np.zeros(0, _FLAG)]
-        for b in batches:
-            for blob, kind in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                marks.append(kernels.unpack(blob, _FLAG)) if kind else blobs.append(blob)
-        mark = np.concatenate(marks)
+        blobs = [blob for b in batches for blob in b.column(1).to_pylist()]
         passes = 1 + sum(map(len, blobs)) // PASS_BYTES
         for i in range(passes):
             parts = [np.zeros(0, _POSTING), *(r if passes == 1 else r[r["key"] % passes == i] for r in (kernels.unpack(x, _POSTING) for x in blobs))]
@@ -253,22 +184,22 @@ def join_pairs(docs: DataFrame, count: np.ndarray, flags: DataFrame, t: float) -
                 blobs.clear()
             rec = np.concatenate(parts)
             del parts
-            yield from _joined(rec, mark, t, n_parts)
+            yield from _joined(rec, t, n_parts)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                one = kernels.unpack(x, _UNIT)
-                yield from _block_pairs(one, one if y is None else kernels.unpack(y, _UNIT), y is None, t)
+                one = kernels.unpack(x, _POSTING)
+                yield from _block_pairs(one, one if y is None else kernels.unpack(y, _POSTING), y is None, t)
 
-    postings = docs.mapInArrow(emit, "pid int, blob binary, kind int").union(flags.mapInArrow(flag, "pid int, blob binary, kind int"))
+    postings = docs.mapInArrow(emit, "pid int, blob binary")
     met = frames.written(frames.by_id(postings, n_parts).mapInArrow(pair, f"{_COLUMNS}, pid int, x binary, y binary"), "line-met")
     hot = frames.by_id(met.where("pid is not null").select("pid", "x", "y"), n_parts).mapInArrow(across, _COLUMNS)
     return met.where("pid is null").drop("pid", "x", "y").union(hot).distinct()
 
 
-def _joined(rec: np.ndarray, mark: np.ndarray, t: float, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the postings of some tokens; of tokens with more than BLOCK distinct postings, pairs of blocks (pid, x, y)."""
+def _joined(rec: np.ndarray, t: float, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Members of classes and candidate pairs of the postings of some tokens; of tokens with more than BLOCK distinct postings, pairs of blocks (pid, x, y)."""
 
     def full(p: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*p.columns, pa.nulls(p.num_rows, pa.int32()), pa.nulls(p.num_rows, pa.binary()), pa.nulls(p.num_rows, pa.binary())], [*p.schema.names, "pid", "x", "y"])
@@ -280,17 +211,12 @@ def _joined(rec: np.ndarray, mark: np.ndarray, t: float, n_parts: int) -> Iterat
     again = _again(rec)
     first = np.maximum.accumulate(np.where(again, 0, np.arange(len(rec))))
     copy = np.flatnonzero(again & (rec["pos"] == 0))
-    yield full(_pairs(rec[copy], rec[first[copy]], False))
+    yield full(_pairs(rec[copy], rec[first[copy]], True))
     rec = rec[~again]
-    gone = _digest(mark)
-    gone.sort()
-    mine = _digest(rec)
-    settled = gone[np.minimum(np.searchsorted(gone, mine), len(gone) - 1)] == mine if len(gone) else np.zeros(len(rec), bool)
     at, size = kernels.runs(rec["key"])
     for a, s in zip(at[size > BLOCK].tolist(), size[size > BLOCK].tolist()):
-        yield from _units(rec[a : a + s], settled[a : a + s], t, n_parts)
-    few = np.repeat(size <= BLOCK, size)
-    rec, settled = rec[few], settled[few]
+        yield from _units(rec[a : a + s], t, n_parts)
+    rec = rec[np.repeat(size <= BLOCK, size)]
     key, n, pos = rec["key"], rec["n"].astype(np.int64), rec["pos"].astype(np.int64)
     act, d = np.arange(max(0, len(rec) - 1)), 1
     while len(act):
@@ -301,8 +227,6 @@ def _joined(rec: np.ndarray, mark: np.ndarray, t: float, n_parts: int) -> Iterat
         most = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
         ok = most * (1 + t) >= t * (n[a] + n[b]) - 1e-6
         a, b = a[ok], b[ok]
-        ok = ~settled[np.where(_before(rec[a], rec[b]), b, a)]
-        a, b = a[ok], b[ok]
         differ = np.bitwise_count(rec["bits"][a] ^ rec["bits"][b]).sum(axis=1, dtype=np.int64)
         ok = differ * (1 + t) <= (1 - t) * (n[a] + n[b]) + 1e-6
         if ok.any():
@@ -311,22 +235,18 @@ def _joined(rec: np.ndarray, mark: np.ndarray, t: float, n_parts: int) -> Iterat
         act = act[act + d < len(rec)]
 
 
-def _units(rec: np.ndarray, settled: np.ndarray, t: float, n_parts: int) -> Iterator[pa.RecordBatch]:
+def _units(rec: np.ndarray, t: float, n_parts: int) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks of one token's postings (by length), without those whose lengths rule a match out."""
-    unit = np.empty(len(rec), _UNIT)
-    for name in _POSTING.names:
-        unit[name] = rec[name]
-    unit["gone"] = settled
-    blocks = [unit[a : a + BLOCK] for a in range(0, len(unit), BLOCK)]
+    blocks = [rec[a : a + BLOCK] for a in range(0, len(rec), BLOCK)]
     blobs = [np.ascontiguousarray(b.view(np.uint8).reshape(len(b), -1).T).tobytes() for b in blocks]
-    none = [pa.nulls(1, k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())]
+    none = [pa.nulls(1, k) for k in _TYPES]
     for i in range(len(blocks)):
         for j in range(i, len(blocks)):
             if blocks[i]["n"][-1] < t * blocks[j]["n"][0] - 1e-9:
                 break
             pid = int(kernels.mix64(np.array([(int(rec["key"][0]) << 24) + (i << 12) + j], np.uint64))[0] % np.uint64(n_parts))
             pair = [pa.array([pid], pa.int32()), pa.array([blobs[i]]), pa.array([None if i == j else blobs[j]], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, *pair], ["doc", "line", "match_doc", "match_line", "same", "pid", "x", "y"])
+            yield pa.RecordBatch.from_arrays([*none, *pair], [*_NAMES, "pid", "x", "y"])
 
 
 def _block_pairs(x: np.ndarray, y: np.ndarray, same: bool, t: float) -> Iterator[pa.RecordBatch]:
@@ -341,19 +261,14 @@ def _block_pairs(x: np.ndarray, y: np.ndarray, same: bool, t: float) -> Iterator
             ok &= np.arange(len(y)) > np.arange(at, at + len(tile))[:, None]
         i, j = np.nonzero(ok)
         a, b = tile[i], y[j]
-        open_ = np.where(_before(a, b), b["gone"], a["gone"]) == 0
         differ = np.bitwise_count(a["bits"] ^ b["bits"]).sum(axis=1, dtype=np.int64)
-        open_ &= differ * (1 + t) <= (1 - t) * (a["n"].astype(np.int64) + b["n"]) + 1e-6
-        if open_.any():
-            yield _pairs(a[open_], b[open_], False)
-
-
-def _digest(rec: np.ndarray) -> np.ndarray:
-    return kernels.mix64(rec["key"].astype(np.uint64) + kernels.mix64(rec["doc"].astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(3) + rec["line"].astype(np.uint64))
+        ok = differ * (1 + t) <= (1 - t) * (a["n"].astype(np.int64) + b["n"]) + 1e-6
+        if ok.any():
+            yield _pairs(a[ok], b[ok], False)
 
 
 def _sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(doc, line, tokens) of the lines that refs names."""
+    """(sid, tokens) of the lines that refs names."""
     wanted = frames.written(refs.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "line-refs")
     some = docs.join(frames.small(wanted, 80), docs["doc_id"] == F.col("doc")).select("doc", "text", "lines")
 
@@ -371,39 +286,37 @@ def _sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(size)])
                 at = np.repeat(start[hit] - ends[:-1], size) + np.arange(ends[-1])
                 sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[at].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row[start[hit]]]), pa.array(line[start[hit]].astype(np.int32)), sets], ["doc", "line", "tokens"])
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, start)[hit].astype(np.int64)), sets], ["sid", "tokens"])
 
-    return some.mapInArrow(run, "doc bigint, line int, tokens array<bigint>").dropDuplicates(["doc", "line"])
+    return some.mapInArrow(run, "sid bigint, tokens array<bigint>").dropDuplicates(["sid"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs with jaccard >= t, and the token sets of all lines in pairs."""
+def _verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """Pairs with jaccard >= t."""
     sets = frames.written(_sets(docs, pairs.select("doc", "line").union(pairs.select("match_doc", "match_line"))), "line-sets")
-    a, b = sets.selectExpr("doc", "line", "tokens AS x"), sets.selectExpr("doc AS match_doc", "line AS match_line", "tokens AS y")
+    a, b = sets.selectExpr("sid", "tokens AS x"), sets.selectExpr("sid AS match_sid", "tokens AS y")
     common = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(a, ["doc", "line"]).join(b, ["match_doc", "match_line"]).withColumn("common", common)
+    joined = pairs.join(a, "sid").join(b, "match_sid").withColumn("common", common)
     joined = joined.withColumn("jaccard", F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).where(F.col("jaccard") >= t - 1e-12)
-    return joined.select("doc", "line", "match_doc", "match_line", "jaccard"), sets
+    return joined.select("doc", "line", "match_doc", "match_line", "jaccard")
+
+
+def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per link: doc_id, line_no (from 0), match_doc_id, match_line_no, jaccard."""
+    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    met = frames.written(join_pairs(narrow, word_counts(narrow), threshold), "line-pairs")
+    members = met.where("same").selectExpr("doc", "line", "match_doc", "match_line", "cast(1 as double) AS jaccard")
+    every = members.union(_verified(narrow, met.where("not same"), threshold))
+    links = every.groupBy("doc", "line", "match_doc", "match_line").agg(F.max("jaccard").alias("jaccard"))  # rows of one doc_id are one document
+    return links.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"), F.col("match_doc").alias("match_doc_id"), F.col("match_line").alias("match_line_no"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per removed line: doc_id, line_no (from 0), match_doc_id, match_line_no, jaccard."""
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    proposed, count = first_pass(narrow, threshold)
-    proposed = frames.written(proposed, "line-proposed")
-    copies = proposed.where("same")
-    open_ = proposed.where("not same").join(copies.select("doc", "line"), ["doc", "line"], "left_anti")
-    witness, sets = _verified(narrow, frames.written(open_, "line-open"), threshold)
-    witness = frames.written(witness, "line-witness")
-    flags = sets.join(witness.select("doc", "line").distinct(), ["doc", "line"], "left_semi")
-    known = copies.select("doc", "line").union(witness.select("doc", "line")).distinct()
-    rest = join_pairs(narrow, count, flags, threshold).select("doc", "line", "match_doc", "match_line").join(known, ["doc", "line"], "left_anti")
-    found, _ = _verified(narrow, frames.written(rest, "line-rest"), threshold)
-    every = copies.selectExpr("doc", "line", "match_doc", "match_line", "0 AS rank", "cast(1 as double) AS jaccard")
-    for rank, more in ((1, witness), (2, found)):
-        every = every.union(more.selectExpr("doc", "line", "match_doc", "match_line", f"{rank} AS rank", "jaccard"))
-    best = every.groupBy("doc", "line").agg(F.min(F.struct("rank", "match_doc", "match_line", "jaccard")).alias("m"))
-    return best.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"), F.col("m.match_doc").alias("match_doc_id"), F.col("m.match_line").alias("match_line_no"), F.round("m.jaccard", 6).alias("jaccard"))
+    link = F.struct((F.col("jaccard") < 1).alias("other"), "match_doc_id", "match_line_no", "jaccard")
+    best = similar_lines(docs, threshold, doc_id, text).groupBy("doc_id", "line_no").agg(F.min(link).alias("m"))
+    return best.select("doc_id", "line_no", "m.match_doc_id", "m.match_line_no", "m.jaccard")
 
 
 @frames.shielded

@@ -112,6 +112,29 @@ def test_line_join_is_exact(spark, docs, threshold, block, monkeypatch):
         assert abs(len(s & t) / len(s | t) - r.jaccard) < 1e-5 and r.jaccard >= threshold - 1e-6
 
 
+@pytest.mark.parametrize("block", [None, 16])
+def test_every_link_of_similar_lines(spark, docs, block, monkeypatch, tmp_path):
+    """The whole output of the query: members of classes, and every pair of representatives, also of lines that are removed anyway."""
+    if block:
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        monkeypatch.setattr(line_dedup, "PASS_BYTES", 200_000)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    extra = [(10_000 + i, f"{words} v{i % 40}\n{'mu ' * (i % 3)}{words} v{i % 40} w") for i in range(60)] + [(1_000_000, f"{words} v1 x\nseen once"), (1_000_000, f"{words} v2 y")]
+    spark.createDataFrame(extra, "doc_id bigint, text string").union(docs.select("doc_id", "text")).write.parquet(f"{tmp_path}/documents.parquet")
+    lines = sorted({(r.doc_id, i, frozenset(kernels.word_list(t))) for r in frames.read(spark, str(tmp_path), "documents").collect() for i, t in enumerate(r.text.split("\n"))}, key=lambda x: x[:2])
+    first, want = {}, {}
+    for a, b, s in lines:
+        if s and first.setdefault(s, (a, b)) != (a, b):
+            want[(a, b, *first[s])] = 1.0
+    for s, t in itertools.combinations(first, 2):
+        if min(len(s), len(t)) >= 0.85 * max(len(s), len(t)) and len(s & t) >= 0.85 * len(s | t) - 1e-9 and first[s] != first[t]:
+            want[(*max(first[s], first[t]), *min(first[s], first[t]))] = round(len(s & t) / len(s | t), 6)
+    got = [tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and {r[:4] for r in got} == set(want)
+    assert all(abs(r[4] - want[r[:4]]) < 2e-6 for r in got)
+    assert len(want) > len({r[:2] for r in got}) + 1000  # many more links than removed lines
+
+
 def test_lines_are_cut_out(spark):
     df = spark.createDataFrame([(1, "a b c d\nkeep one two\n\nx y z w"), (2, "x y z w\nnew line here\na b c d")], "doc_id bigint, text string")
     out = {r.doc_id: r.text for r in line_dedup.without_lines(df, line_dedup.removed_lines(df)).collect()}
