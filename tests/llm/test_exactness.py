@@ -114,7 +114,7 @@ def test_line_join_is_exact(spark, docs, threshold, block, monkeypatch):
 
 @pytest.mark.parametrize("block", [None, 16])
 def test_every_link_of_similar_lines(spark, docs, block, monkeypatch, tmp_path):
-    """The whole output of the query: members of classes, and every pair of representatives, also of lines that are removed anyway."""
+    """Members of classes, and every pair of representatives, also of lines that are removed anyway."""
     if block:
         monkeypatch.setattr(line_dedup, "BLOCK", block)
         monkeypatch.setattr(line_dedup, "PASS_BYTES", 200_000)
@@ -129,12 +129,54 @@ def test_every_link_of_similar_lines(spark, docs, block, monkeypatch, tmp_path):
     for s, t in itertools.combinations(first, 2):
         if min(len(s), len(t)) >= 0.85 * max(len(s), len(t)) and len(s & t) >= 0.85 * len(s | t) - 1e-9 and first[s] != first[t]:
             want[(*max(first[s], first[t]), *min(first[s], first[t]))] = round(len(s & t) / len(s | t), 6)
-    got = [tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in line_dedup.similar_lines(frames.read(spark, str(tmp_path), "documents")).collect()]
     assert len(got) == len(want) and {r[:4] for r in got} == set(want)
     assert all(abs(r[4] - want[r[:4]]) < 2e-6 for r in got)
     assert len(want) > len({r[:2] for r in got}) + 1000  # many more links than removed lines
 
 
+@pytest.mark.parametrize("block", [None, 16])
+def test_links_are_counted_by_line(spark, docs, block, monkeypatch, tmp_path):
+    """The whole output of the query, one row per line, against all pairs. Small blocks: groups are compared by prefix token and in pairs of blocks."""
+    if block:
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        monkeypatch.setattr(line_dedup, "PASS_BYTES", 200_000)
+        monkeypatch.setattr(line_dedup, "_FOLD", 1000)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    extra = [(10_000 + i, f"{words} v{i % 40}\n{'mu ' * (i % 3)}{words} v{i % 40} w") for i in range(60)]
+    extra += [(20_000 + i, " ".join(f"c{j}" for j in range(i, i + 20))) for i in range(50)]  # a chain: each is similar to its neighbours only
+    extra += [(1_000_000, f"{words} v1 x\nseen once"), (1_000_000, f"{words} v2 x"), (1_000_000, f"{words} v1 x\nseen once")]
+    extra += [(1_000_001, "p q r s t u v w"), (1_000_001, "p q r s t u v w x"), (1_000_002, "only here\n\nonly here here"), (None, words), (1_000_003, None)]
+    spark.createDataFrame(extra, "doc_id bigint, text string").union(docs.select("doc_id", "text")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r.doc_id, r.text) for r in frames.read(spark, str(tmp_path), "documents").collect() if r.doc_id is not None and r.text is not None}
+    lines = {}
+    for d, text in rows:
+        for i, t in enumerate(text.split("\n")):
+            if s := frozenset(kernels.word_list(t)):
+                lines.setdefault(s, set()).add((d, i))
+    first, near = {s: min(at) for s, at in lines.items()}, {s: {} for s in lines}
+    for s, t in itertools.combinations(lines, 2):
+        if min(len(s), len(t)) >= 0.85 * max(len(s), len(t)) and len(s & t) >= 0.85 * len(s | t) - 1e-9 and len(lines[s] | lines[t]) > 1:
+            near[s][t] = near[t][s] = round(len(s & t) / len(s | t), 6)
+    want = []
+    for s, at in lines.items():
+        group, queue = {s}, [s]
+        while queue:
+            for t in near[queue.pop()]:
+                if t not in group:
+                    group.add(t)
+                    queue.append(t)
+        head = min(first[t] for t in group)
+        early = min(((*first[t], j) for t, j in near[s].items() if first[t] < first[s]), default=(None, None, None))
+        for line in at if near[s] or len(at) > 1 else ():
+            want.append((*line, *first[s], len(at) - 1, *head, len(near[s]), *(early if line == first[s] else (*first[s], 1.0))))
+    got = [tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()]
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    assert [r[:-1] for r in sorted(got, key=order)] == [r[:-1] for r in sorted(want, key=order)]
+    assert all(a[-1] == b[-1] or abs(a[-1] - b[-1]) < 2e-6 for a, b in zip(sorted(got, key=order), sorted(want, key=order)))
+    assert sum(r[7] for r in got if r[:2] == r[2:4]) > 2 * len(got)  # the rows follow the lines, not the links
+
+
 def test_lines_are_cut_out(spark):
     df = spark.createDataFrame([(1, "a b c d\nkeep one two\n\nx y z w"), (2, "x y z w\nnew line here\na b c d")], "doc_id bigint, text string")
     out = {r.doc_id: r.text for r in line_dedup.without_lines(df, line_dedup.removed_lines(df)).collect()}
