@@ -17,6 +17,8 @@ import pyarrow as pa
 
 PIECE_BYTES = 1 << 18
 SLICE_BYTES = 4 << 20
+#: For operators that hold many numbers for each word.
+SMALL_SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)

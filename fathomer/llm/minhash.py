@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in kernels.slices(batch, "text"):
+            for b in kernels.slices(batch, "text", kernels.SMALL_SLICE_BYTES):
                 h, bounds = shingles(kernels.words_of(b.column(1)))
                 m = minima(h, bounds)
                 ok = (np.diff(bounds) > 0) & ~np.asarray(b.column(0).is_null())

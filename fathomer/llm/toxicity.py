@@ -49,21 +49,31 @@ NAMES = [c for c, _ in CATEGORIES]
 
 
 def features(col: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hashed feature), not yet distinct; with a table, (document, index) of the features that it selects."""
+    """Distinct (document, hashed feature), by document, then by feature; with a table, (document, index) of the features that it selects.
+
+    Repeats go piece by piece, so memory follows the distinct pairs and not six times the words.
+    """
     data, off = kernels.buffers(col)
-    docs, feats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-    mask = np.uint64((1 << HASH_BITS) - 1)
+    keys = [np.zeros(0, np.uint64)]
+    mask, bits = np.uint64((1 << HASH_BITS) - 1), np.uint64(HASH_BITS)
     for p in kernels.pieces(data, off):
-        doc = np.searchsorted(off, p.starts + p.base, "right") - 1
-        size = p.ends - p.starts
-        for kind, h, ok in [(0, p.words(), None), *((k, p.prefixes(k), size > k) for k in (4, 5, 6)), *((10 + k, p.suffixes(k), size > k) for k in (4, 5))]:
-            f = (kernels.mix64(h + np.uint64(kind)) & mask).astype(np.uint32)
+        doc = (np.searchsorted(off, p.starts + p.base, "right") - 1).astype(np.uint64) << bits
+        size, part = p.ends - p.starts, []
+        for kind, h, ok in [(0, p.words, None), *((k, lambda k=k: p.prefixes(k), size > k) for k in (4, 5, 6)), *((10 + k, lambda k=k: p.suffixes(k), size > k) for k in (4, 5))]:
+            f = kernels.mix64(h() + np.uint64(kind)) & mask
             if table is not None:
                 f = table[f]
                 ok = f >= 0 if ok is None else ok & (f >= 0)
-            docs.append(doc if ok is None else doc[ok])
-            feats.append(f if ok is None else f[ok])
-    return np.concatenate(docs), np.concatenate(feats)
+            key = doc if ok is None else doc[ok]
+            part.append(key | (f if ok is None else f[ok]).astype(np.uint64))
+        keys.append(_distinct(np.concatenate(part)))
+    key = _distinct(np.concatenate(keys))
+    return (key >> bits).astype(np.int64), (key & mask).astype(np.uint32)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    return keys[kernels.runs(keys)[0]]
 
 
 @dataclass
@@ -83,8 +93,7 @@ class Chain:
         return out
 
     def score(self, col: pa.Array) -> np.ndarray:
-        doc, idx = kernels.unique_pairs(*features(col, self.table))
-        return self.predict(doc, idx, len(col))
+        return self.predict(*features(col, self.table), len(col))
 
 
 def _logistic(doc: np.ndarray, idx: np.ndarray, extra: np.ndarray, y: np.ndarray, k: int, l2: float = 1e-4, rounds: int = 200) -> np.ndarray:
@@ -160,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in kernels.slices(batch, "text"):
-                doc, f = kernels.unique_pairs(*features(b.column(1)))
+            for b in kernels.slices(batch, "text", kernels.SMALL_SLICE_BYTES):
+                doc, f = features(b.column(1))
                 cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
                 blobs = [f[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], ["doc_id", "toxic", "f"])
@@ -183,7 +192,7 @@ def _scored(docs: DataFrame, chain: Chain | None, text: str, most: float | None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for b in kernels.slices(batch, text):
+            for b in kernels.slices(batch, text, kernels.SMALL_SLICE_BYTES):
                 p = model.score(b.column(b.schema.get_field_index(text))) if model else np.zeros((b.num_rows, len(NAMES)))
                 if most is not None:
                     yield b.filter(pa.array(p[:, -1] < most))

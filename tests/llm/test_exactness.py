@@ -4,6 +4,7 @@ import functools
 import hashlib
 import itertools
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -393,6 +394,28 @@ def feature(part: bytes, kind: int) -> int:
     return int(kernels.mix64(np.array([(inner + kind) % (1 << 64)], np.uint64))[0]) & ((1 << toxicity.HASH_BITS) - 1)
 
 
+def test_toxicity_features_in_little_memory():
+    """Distinct features of long documents and of documents that span pieces, in memory that doesn't follow the words."""
+    rng = np.random.default_rng(5)
+    words = [f"{'abcdefgh'[i % 8] * (i % 7)}{i}" for i in range(3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, hi, n)) for n, hi in ((300_000, 3000), (7, 50), (60_000, 900), (0, 1))] + [None]
+    size = sum(len(t or "") for t in texts)
+    col = pa.array(texts)
+    toxicity.features(col.slice(1, 1))  # makes the tables of powers
+    tracemalloc.start()
+    doc, f = toxicity.features(col)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = []
+    for i, t in enumerate(texts):
+        found = set()
+        for w in set(kernels.word_list(t)):
+            found |= {feature(w, 0)} | {feature(w[:k], k) for k in (4, 5, 6) if len(w) > k} | {feature(w[-k:], 10 + k) for k in (4, 5) if len(w) > k}
+        want += [(i, x) for x in sorted(found)]
+    assert list(zip(doc.tolist(), f.tolist())) == want
+    assert size > 8 * kernels.PIECE_BYTES and peak < 10 * size, f"{peak} bytes for {size} bytes of text"
+
+
 def chain_scores(text: str | None, chain: toxicity.Chain) -> list[float]:
     """The chain's probabilities of one text, link by link over its words."""
     found = set()
