@@ -33,3 +33,8 @@ def test_offsets_of_clusters(t):
     begin = [i for i, c in enumerate(t) if i == 0 or not unicodedata.combining(c)]
     want = [(c, i) for i, j in zip(begin, [*begin[1:], len(t)]) for c in unicodedata.normalize("NFC", t[i:j])]
     assert list(zip(out, at.tolist())) == want and at.dtype == np.int32
+
+
+def test_nfc_composes_across_starters(spark):
+    """Hangul letters compose, though none of them is a combining mark (as in the SQL twin)."""
+    assert spark.range(1).select(refine.nfc(F.lit("한")).alias("v")).first().v == "한"
