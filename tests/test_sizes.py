@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomer.operators import refine, slices
+from fathomer.operators import chunk, refine, slices
 
 
 def test_text_functions_work_in_slices(spark):
@@ -24,6 +24,8 @@ def test_text_functions_work_in_slices(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
     rows = {r.id: r.r for r in df.select("id", refine.refined(F.col("t"), F.lit(False)).alias("r")).collect()}
     assert all((rows[i].text, rows[i].offset_map) == refine.refine(t) for i, t in enumerate(texts))
+    parts = df.select("id", chunk.splitter("recursive")(F.col("t")).alias("c")).collect()
+    assert all([(c.start, c.end, c.text) for c in r.c] == [(a, b, texts[r.id][a:b]) for a, b in chunk.recursive_spans(texts[r.id] or "")] for r in parts)
 
 
 @pytest.mark.parametrize("t", ["café x", "́a", "ạ̇b", "Å क़", "ȩ́́ ü", "plain", "ǘ⃒ y"])
