@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomer.operators import chunk, refine, slices
+from fathomer.operators import chunk, refine, slices, vector
 
 
 def test_text_functions_work_in_slices(spark):
@@ -40,3 +40,32 @@ def test_offsets_of_clusters(t):
 def test_nfc_composes_across_starters(spark):
     """Hangul letters compose, though none of them is a combining mark (as in the SQL twin)."""
     assert spark.range(1).select(refine.nfc(F.lit("한")).alias("v")).first().v == "한"
+
+
+def _unit(n, dim, seed):
+    x = np.random.default_rng(seed).normal(size=(n, dim)).astype(np.float32)
+    x[n // 2 : n // 2 + 20] = x[:20]  # copies
+    return x
+
+
+@pytest.mark.parametrize("few", [1000, 5])
+def test_nearest_rows_in_groups(spark, monkeypatch, few):
+    """Many groups and few queries give the rows of a brute force, and no row a pair of blocks is shuffled."""
+    monkeypatch.setattr(vector, "FEW_QUERIES", few)
+    monkeypatch.setattr(vector, "GROUP_ROWS", 40)
+    x = _unit(150, 4, 7)
+    e = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    got = {(r.query_id, r.row_id): r.rank for r in vector.top_k(e.selectExpr("vec_id AS query_id", "embedding AS query_vector"), e, 6).collect()}
+    want = {(i, j): n + 1 for i in range(150) for n, j in enumerate(sorted(range(150), key=lambda j: (-round(s[i, j], 9), j))[:6])}
+    assert got == want
+    above = {(i, j) for i in range(150) for j in range(i + 1, 150) if s[i, j] >= 0.35}
+    assert {(r.i, r.j) for r in vector.pairs_above(e, 0.35).collect()} == above
+    hashes = {(r.i, r.j): r.h for r in spark.createDataFrame(sorted(above), "i bigint, j bigint").withColumn("h", F.xxhash64("i", "j")).collect()}
+    first = set()
+    for i in range(150):
+        near = sorted((p for p in above if i in p), key=lambda p: (-round(s[p], 6), hashes[p]))
+        first |= set(near[:5])
+    pairs = vector.first_pairs(e, 0.35, 5)
+    assert {(r.i, r.j) for r in pairs.collect()} == first and len(first) < len(above) / 2
