@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomer.operators import chunk, refine, slices, vector
+from fathomer.operators import chunk, evaluate, extract, lexical, refine, slices, vector
 
 
 def test_text_functions_work_in_slices(spark):
@@ -69,3 +69,38 @@ def test_nearest_rows_in_groups(spark, monkeypatch, few):
         first |= set(near[:5])
     pairs = vector.first_pairs(e, 0.35, 5)
     assert {(r.i, r.j) for r in pairs.collect()} == first and len(first) < len(above) / 2
+
+
+def test_phrases_are_counted_without_postings(spark, monkeypatch):
+    """bm25_top with phrases of several words equals top(bm25), and doesn't take the way over postings."""
+    monkeypatch.setattr(lexical, "_top_of_postings", lambda *a: 1 / 0)
+    words = np.random.default_rng(3).choice("aa bb cc dd ee ff gg".split(), (60, 40))
+    docs = spark.createDataFrame([*((i, " ".join(w[: 5 + i % 30])) for i, w in enumerate(words)), (60, ""), (61, "zz-aa")], "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame([(1, "aa bb"), (2, "aa-bb cc"), (3, "aa.aa"), (4, "nothing zz"), (5, "gg_ff-ee aa bb bb")], "query_id bigint, query string")
+    order = lambda df: sorted((r.query_id, r.rank, r.row_id, round(r.score, 9)) for r in df.collect())
+    assert order(lexical.bm25_top(docs, q, "doc_id", 7)) == order(lexical.top(lexical.bm25(docs, q, "doc_id"), 7))
+
+
+def test_passages_meet_texts_without_a_shuffle_of_them(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "one two three four"), (2, "xone two three fourx"), (3, None), (4, "two"), (5, "")], "doc_id bigint, text string")
+    p = spark.createDataFrame([(1, "one two three four"), (2, "two"), (3, ""), (4, "e two t")], "item_id bigint, passage string")
+    rows = lambda: {(r.item_id, r.doc_id) for r in evaluate.containing(d, p).collect()}
+    got = rows()
+    monkeypatch.setattr(evaluate, "MOST_PASSAGES", 0)
+    assert got == rows() == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 4), (4, 1), (4, 2)}
+
+
+def test_pairs_in_runs(spark):
+    x = _unit(90, 4, 9)
+    e = spark.createDataFrame([(f"g{i % 7}", i, r.tolist()) for i, r in enumerate(x)], "g string, id bigint, embedding array<float>")
+    got = vector.pairs_in_runs(e.repartition(3, "g").sortWithinPartitions("g"), 0.6, "g")
+    want = vector.pairs_above(e.withColumnRenamed("id", "vec_id"), 0.6, by=("g",))
+    pairs = lambda df: sorted((r.i, r.j, r.sim) for r in df.collect())
+    assert pairs(got) == pairs(want) and "Exchange" not in vector.pairs_in_runs(e, 0.6, "g")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_are_made_within_the_row(spark):
+    d = spark.createDataFrame([(1, "Alpha Beta met Gamma and my_var. Gamma left Gamma. none here"), (2, None)], "doc_id bigint, text string")
+    r = extract.relations(extract.named(d, "doc_id"), "doc_id")
+    assert sorted((x.sent, x.subject, x.object) for x in r.collect()) == [(0, "Alpha Beta", "Gamma"), (0, "Alpha Beta", "my_var"), (0, "Gamma", "my_var")]
+    assert "Join" not in r._jdf.queryExecution().executedPlan().toString()
